@@ -152,7 +152,9 @@ def mixture(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     pieces = lines.withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK_TOKENS)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_TOKENS)
-    part = (high - low) * F.col("times") + F.greatest(F.lit(0), F.coalesce(F.least(high, F.col("cut")) - low, F.lit(0)))
+    # `least` skips nulls, so a block that the last pass doesn't reach needs its own case.
+    last_pass = F.when(F.col("cut").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(high, F.col("cut")) - low))
+    part = (high - low) * F.col("times") + last_pass
     taken = (
         pieces.join(used, ["sid", "block"])
         .select("sid", "start", part.alias("part"))
