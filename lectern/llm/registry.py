@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("exact_dedup", "mixing")
+MODULES: tuple[str, ...] = ("quality", "exact_dedup", "mixing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
