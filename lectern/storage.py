@@ -58,4 +58,4 @@ def release(*frames: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, used only to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
