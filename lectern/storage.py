@@ -55,7 +55,3 @@ def release(*frames: DataFrame) -> None:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, used only to choose partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
