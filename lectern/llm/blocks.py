@@ -20,19 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import input_bytes
-
 #: Bytes of text after which a block ends; one longer document is a block of its own.
 BLOCK_BYTES = 2_000_000
-#: Bytes of stored input for each shard of a key space; bounds what a shard gathers.
-SHARD_BYTES = 4_000_000
+#: Bytes of text for each shard of a key space; bounds what a shard gathers.
+SHARD_BYTES = 8_000_000
 LEAST_SHARDS = 32
 
 DOCS_SCHEMA = "block long, ids binary, lens binary, body binary"
 
 
 def shard_count(docs: DataFrame) -> int:
-    return max(LEAST_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
+    """Shards by the measured size of all texts; the optimizer's guess may be far off."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(LEAST_SHARDS, -(-size // SHARD_BYTES))
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -154,6 +154,8 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def by_shard(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """``(shard, places)`` of the keys that fall to each shard, places in order of key."""
+    if not len(keys):
+        return
     shard = mix(keys) % np.uint64(n_shards)
     order = np.lexsort((keys, shard))
     found, starts = np.unique(shard[order], return_index=True)
