@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_TOKENS = 1024
 #: Documents in a chunk of a source's shuffled line, and slots in a chunk of the schedule.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 SLOT_CHUNK = 65_536
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which slots find their source.
