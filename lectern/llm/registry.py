@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("quality", "substrings", "licenses", "mixing", "neardup", "bytebpe", "urls", "exact_dedup")
+MODULES: tuple[str, ...] = ("quality", "languages", "substrings", "licenses", "mixing", "neardup", "bytebpe", "urls", "exact_dedup")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
