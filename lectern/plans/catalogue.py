@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: tuple[str, ...] = ("sampling", "preparation", "scores")
+FAMILIES: tuple[str, ...] = ("sampling", "preparation", "scores", "reviews", "lexica")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

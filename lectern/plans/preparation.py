@@ -35,7 +35,7 @@ def row_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
         F.when(page % 11 == 0, F.concat(own, F.lit("E+3"))).when(page % 7 == 0, F.concat(F.lit("0"), own)).otherwise(
             (page + 1).cast("string")).alias("rpid"),
         F.when(page % 5 == 0, "x").otherwise((F.lit(1_200_000_000) + page * 900_000).cast("string")).alias("ctime"),
-        F.when(page % 13 == 0, F.lit(" \n")).otherwise(F.substring("text", 1, 20)).alias("message"),
+        F.when(page % 13 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("message"),
     )
     stamp = F.when(F.col("ctime").rlike(r"\A(?:0|[1-9][0-9]*)\z"), F.col("ctime").cast("long"))
     scientific = F.col("rpid").rlike(r"\A[0-9]+(?:\.[0-9]+)?[eE][+-]?[0-9]+\z")
@@ -62,15 +62,15 @@ def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document once, and the labelled ones again, with another text where they are toxic."""
     docs = _docs(spark, d)
-    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang", F.lit(0).alias("seq")).unionByName(
-        docs.where("doc_id % 3 = 0").select(
-            F.col("doc_id").alias("id"),
-            F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
-            "lang",
-            F.lit(1).alias("seq"),
-        )
+    again = docs.join(table(spark, d, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
+        "lang",
+        F.lit(1).alias("seq"),
     )
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang", F.lit(0).alias("seq")).unionByName(again)
     found = C.collapse_ids(rows, payload=["text", "lang"], order="seq")
     return found.select("id", "members", "conflict", F.when(~F.col("conflict"), F.length("text")).cast("long").alias("n_chars"))
 
@@ -83,7 +83,7 @@ def exact_text_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def video_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("doc_id % 4 = 0").select(
+    rows = _docs(spark, d).select(
         F.concat("source", F.lit("-"), F.pmod("doc_id", F.lit(97)).cast("string")).alias("grp"), "text"
     )
     return C.shared_text_components(rows).select("grp", F.concat(F.lit("video-component:"), "component").alias("component"))
@@ -119,7 +119,7 @@ def unresolved_pointers(spark: SparkSession, d: str) -> DataFrame:
 
 def eligible_pools(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a date window without an excluding flag, split into candidates and controls."""
-    flags = F.when(F.col("value") < 5, F.array(F.lit("empty_text"))).when(F.col("user_id") % 6 == 0, F.array(F.lit("short_text"))).otherwise(
+    flags = F.when(F.col("value") < 5, F.array(F.lit("empty_text"))).when(F.col("value") < 20, F.array(F.lit("short_text"))).otherwise(
         F.array().cast("array<string>"))
     day = F.to_date(F.date_format("ts", "yyyy-MM-dd"))
     excluded = F.array(*[F.lit(x) for x in ("empty_text", "replacement_character", "control_character")])
@@ -208,7 +208,7 @@ ORACLES = {
 WITH r AS (SELECT doc_id,
   CASE WHEN doc_id % 11 = 0 THEN doc_id || 'E+3' WHEN doc_id % 7 = 0 THEN '0' || doc_id ELSE CAST(doc_id + 1 AS VARCHAR) END AS rpid,
   CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE CAST(1200000000 + doc_id * 900000 AS VARCHAR) END AS ctime,
-  CASE WHEN doc_id % 13 = 0 THEN ' ' || chr(10) ELSE substr(text, 1, 20) END AS message FROM documents),
+  CASE WHEN doc_id % 13 = 0 THEN ' ' || chr(10) ELSE text END AS message FROM documents),
 s AS (SELECT *, CASE WHEN regexp_matches(ctime, '^(0|[1-9][0-9]*)$') THEN CAST(ctime AS BIGINT) END AS st FROM r),
 t AS (SELECT doc_id, list_filter([
   CASE WHEN regexp_matches(rpid, '^[1-9][0-9]*$') THEN NULL
@@ -222,14 +222,14 @@ SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256,
        sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS git_blob_sha1 FROM documents""",
     "canonical_conflicts": """
 WITH r AS (SELECT doc_id AS id, text, lang FROM documents UNION ALL
-  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END, lang FROM documents WHERE doc_id % 3 = 0)
+  SELECT doc_id, CASE WHEN toxic = 1 THEN text || '!' ELSE text END, lang FROM documents JOIN labels USING (doc_id))
 SELECT id, count(*) AS members, count(DISTINCT (text, lang)) > 1 AS conflict,
        CASE WHEN count(DISTINCT (text, lang)) = 1 THEN CAST(max(length(text)) AS BIGINT) END AS n_chars FROM r GROUP BY id""",
     "exact_text_groups": """
 SELECT sha256(text) AS text_sha256, min(doc_id) AS group_id, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS ids
 FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1""",
     "video_components": """
-WITH RECURSIVE x AS (SELECT source || '-' || (doc_id % 97) AS grp, text FROM documents WHERE doc_id % 4 = 0),
+WITH RECURSIVE x AS (SELECT source || '-' || (doc_id % 97) AS grp, text FROM documents),
 e AS (SELECT DISTINCT a.grp AS a, b.grp AS b FROM x a JOIN x b ON a.text = b.text AND a.text <> '' AND a.grp <> b.grp),
 r AS (SELECT DISTINCT grp AS n, grp AS m FROM x UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a)
 SELECT n AS grp, 'video-component:' || min(m) AS component FROM r GROUP BY n""",

@@ -13,26 +13,23 @@ SYSTEMS = ("identity", "upper", "spaced")
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    own = F.substring("text", 1, 40)
-    track = F.element_at(F.array(F.lit("core_tn"), F.lit("context_reading"), F.lit("preservation")), (F.col("doc_id") % 3 + 1).cast("int"))
-    refs = F.when(F.col("doc_id") % 3 == 2, F.array(own)).when(F.col("doc_id") % 2 == 0, F.array(F.upper(own), own)).otherwise(F.array(F.upper(own)))
+    own, lang = F.col("text"), F.col("lang")
+    track = F.when(lang == "en", "core_tn").when(lang == "fr", "context_reading").otherwise("preservation")
+    refs = F.when(track == "preservation", F.array(own)).when(track == "core_tn", F.array(F.upper(own), own)).otherwise(F.array(F.upper(own)))
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("family"), track.alias("track"), own.alias("text"), refs.alias("refs"))
 
 
 def _predictions(spark: SparkSession, d: str, system: str) -> DataFrame:
-    own = F.substring("text", 1, 40)
+    """A system answers the labelled documents alone, and fails on the toxic ones."""
+    own, good = F.col("text"), F.col("quality") == 1
     made = {
         "identity": own,
-        "upper": F.when(F.col("doc_id") % 5 != 0, F.upper(own)).otherwise(own),
-        "spaced": F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("  "), F.upper(own))),
+        "upper": F.when(good, F.upper(own)).otherwise(own),
+        "spaced": F.when(good, F.concat(F.lit("  "), F.upper(own))).otherwise(F.lit(" ")),
     }[system]
-    return (
-        table(spark, d, "documents")
-        .where("doc_id % 11 <> 0")
-        .select(F.col("doc_id").alias("id"), made.alias("prediction"),
-                F.when(F.col("doc_id") % 13 == 0, "error").otherwise("ok").alias("status"))
-    )
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), made.alias("prediction"), F.when(F.col("toxic") == 1, "error").otherwise("ok").alias("status"))
 
 
 def _scored(spark: SparkSession, d: str, system: str) -> DataFrame:
@@ -55,8 +52,8 @@ def development_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """Counts by each of five dimensions and role, from one pass over five grouping sets."""
     cases = _cases(spark, d)
     accepted = cases.select("id", F.array_contains("refs", F.col("text")).alias("source_accepted"),
-                            F.when(F.col("id") % 5 == 0, "validation").otherwise("train").alias("role"),
-                            (F.col("id") % 4).cast("string").alias("skill"), F.lit("v1").alias("version"))
+                            F.when(F.sha2(F.col("id").cast("string").cast("binary"), 256) < "4", "validation").otherwise("train").alias("role"),
+                            F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 2, 1).alias("skill"), F.lit("v1").alias("version"))
     rows = _scored(spark, d, "upper").join(accepted, "id")
     rows = rows.withColumn("category", S.category(rows))
     dims = ["track", "family", "version", "skill", "category"]
@@ -84,9 +81,9 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def unknown_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Predictions without a case, and cases with two: both are errors."""
-    cases = _cases(spark, d).where("id % 9 <> 0")
+    cases = _cases(spark, d).where("track <> 'preservation'")
     predictions = _predictions(spark, d, "identity")
-    twice = predictions.unionByName(predictions.where("id % 50 = 1")).groupBy("id").count().where("count > 1")
+    twice = predictions.unionByName(predictions.where("status = 'error'")).groupBy("id").count().where("count > 1")
     return predictions.join(cases, "id", "left_anti").select("id", F.lit("unknown").alias("problem")).unionByName(
         twice.select("id", F.lit("duplicate").alias("problem")))
 
@@ -97,13 +94,13 @@ def blind_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def surface_normalize(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("金额１２元，已 收。“A　B” "), F.substring("text", 1, 60), F.lit(" 、结 ‘ok’"))
+    text = F.concat(F.lit("金额１２元，已 收。“A　B” "), F.col("text"), F.lit(" 、结 ‘ok’"))
     return table(spark, d, "documents").select("doc_id", T.surface(text).alias("surface"))
 
 
 def numeric_template(spark: SparkSession, d: str) -> DataFrame:
     """Keys of ASCII text with numbers."""
-    text = F.concat(F.lit("Item 12.5 of "), F.col("doc_id").cast("string"), F.lit(": "), F.regexp_replace(F.substring("text", 1, 40), r"[^\x00-\x7F]", ""))
+    text = F.concat(F.lit("Item 12.5 of "), F.col("doc_id").cast("string"), F.lit(": "), F.regexp_replace("text", r"[^\x00-\x7F]", ""))
     return table(spark, d, "documents").select("doc_id", T.numeric_template(text).alias("template"))
 
 
@@ -126,16 +123,15 @@ def _sql_surface(x: str) -> str:
 
 
 def _sql_base(system: str) -> str:
-    own = "substr(text, 1, 40)"
     made = {
-        "identity": own,
-        "upper": f"CASE WHEN doc_id % 5 <> 0 THEN upper({own}) ELSE {own} END",
-        "spaced": f"CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE '  ' || upper({own}) END",
+        "identity": "text",
+        "upper": "CASE WHEN quality = 1 THEN upper(text) ELSE text END",
+        "spaced": "CASE WHEN quality = 1 THEN '  ' || upper(text) ELSE ' ' END",
     }[system]
-    return f"""{system}_c AS (SELECT doc_id AS id, source AS family, substr(text, 1, 40) AS text,
-  CASE doc_id % 3 WHEN 0 THEN 'core_tn' WHEN 1 THEN 'context_reading' ELSE 'preservation' END AS track,
-  CASE WHEN doc_id % 3 = 2 THEN [{own}] WHEN doc_id % 2 = 0 THEN [upper({own}), {own}] ELSE [upper({own})] END AS refs FROM documents),
-{system}_p AS (SELECT doc_id AS id, {made} AS prediction, CASE WHEN doc_id % 13 = 0 THEN 'error' ELSE 'ok' END AS status FROM documents WHERE doc_id % 11 <> 0),
+    return f"""{system}_c AS (SELECT doc_id AS id, source AS family, text,
+  CASE lang WHEN 'en' THEN 'core_tn' WHEN 'fr' THEN 'context_reading' ELSE 'preservation' END AS track,
+  CASE lang WHEN 'en' THEN [upper(text), text] WHEN 'fr' THEN [upper(text)] ELSE [text] END AS refs FROM documents),
+{system}_p AS (SELECT doc_id AS id, {made} AS prediction, CASE WHEN toxic = 1 THEN 'error' ELSE 'ok' END AS status FROM documents JOIN labels USING (doc_id)),
 {system}_j AS (SELECT c.*, coalesce(regexp_matches(prediction, '[^\\s]'), false) AS output_valid, coalesce(status, 'missing') AS st,
   CASE WHEN regexp_matches(prediction, '[^\\s]') THEN prediction ELSE '' END AS prediction FROM {system}_c c LEFT JOIN {system}_p USING (id)),
 {system}_k AS (SELECT *, CASE WHEN st = 'ok' AND NOT output_valid THEN 'empty_or_invalid' ELSE st END AS status FROM {system}_j),
@@ -160,7 +156,7 @@ SELECT track, total, completed, total - completed AS failed_or_missing, strict_c
     "family_summary": f"""WITH {_sql_base('upper')}
 SELECT count(*) AS families, count(*) FILTER (g) AS all_correct FROM (SELECT family, bool_and(surface_correct) AS g FROM upper_s GROUP BY family)""",
     "development_breakdown": f"""WITH {_sql_base('upper')},
-x AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'validation' ELSE 'train' END AS role, CAST(id % 4 AS VARCHAR) AS skill, 'v1' AS version,
+x AS (SELECT *, CASE WHEN sha256(CAST(id AS VARCHAR)) < '4' THEN 'validation' ELSE 'train' END AS role, substr(sha256(CAST(id AS VARCHAR)), 2, 1) AS skill, 'v1' AS version,
   CASE WHEN status <> 'ok' THEN 'execution_failure' WHEN surface_correct THEN 'reference_match'
        WHEN source_accepted AND changed_source THEN 'changed_acceptable_original'
        WHEN NOT source_accepted AND NOT changed_source THEN 'unchanged_required_conversion' ELSE 'other_reference_mismatch' END AS category FROM upper_s),
@@ -177,11 +173,11 @@ SELECT id, CASE WHEN a.surface_correct THEN 'match' ELSE a.status END AS identit
   CASE WHEN c.surface_correct THEN 'match' ELSE c.status END AS spaced FROM identity_s a JOIN upper_s b USING (id) JOIN spaced_s c USING (id)""",
     "latency_stats": """SELECT event_type, round(median(value), 6) AS median, max(value) AS largest,
   CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS total FROM events GROUP BY event_type""",
-    "unknown_predictions": """SELECT doc_id AS id, 'unknown' AS problem FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 9 = 0
-UNION ALL SELECT doc_id, 'duplicate' FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 50 = 1""",
+    "unknown_predictions": """SELECT doc_id AS id, 'unknown' AS problem FROM documents JOIN labels USING (doc_id) WHERE lang NOT IN ('en', 'fr')
+UNION ALL SELECT doc_id, 'duplicate' FROM labels WHERE toxic = 1""",
     "blind_order": """SELECT id, chr(CAST(64 + row_number() OVER (PARTITION BY id ORDER BY sha256('lectern-blind-1|' || id || '|' || system), system) AS INTEGER)) AS label, system
 FROM (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(['identity', 'upper', 'spaced']) AS system FROM documents)""",
-    "surface_normalize": "SELECT doc_id, " + _sql_surface("'金额１２元，已 收。“A　B” ' || substr(text, 1, 60) || ' 、结 ‘ok’'") + " AS surface FROM documents",
-    "numeric_template": r"""SELECT doc_id, regexp_replace(regexp_replace(lower('Item 12.5 of ' || doc_id || ': ' || regexp_replace(substr(text, 1, 40), '[^\x00-\x7F]', '', 'g')),
+    "surface_normalize": "SELECT doc_id, " + _sql_surface("'金额１２元，已 收。“A　B” ' || text || ' 、结 ‘ok’'") + " AS surface FROM documents",
+    "numeric_template": r"""SELECT doc_id, regexp_replace(regexp_replace(lower('Item 12.5 of ' || doc_id || ': ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g')),
   '[\s\x0b\x1c-\x1f]+', '', 'g'), '[0-9]+(\.[0-9]+)*', '<number>', 'g') AS template FROM documents""",
 }
