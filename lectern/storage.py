@@ -29,19 +29,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), buckets: tuple[int, str] | None = None
+) -> DataFrame:
     """Write ``df`` as Parquet on shared storage and read it back.
 
     The result has no lineage, survives the loss of any executor, and keeps the
     columns' order (partition columns move to the end, as Spark reads them).
+    With ``buckets``, a number and a column, later joins and groups on that
+    column find the rows in place and don't shuffle them again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/lectern/{own}"
+    writer = df.write.mode("errorifexists").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if buckets:
+        table_name = f"lectern_{own.replace('-', '_')}"
+        writer.bucketBy(*buckets).option("path", path).saveAsTable(table_name)
+        out = spark.table(table_name)
+    else:
+        writer.save(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out
 
