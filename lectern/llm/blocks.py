@@ -57,8 +57,10 @@ def raw(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
-def cut(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
-    """``(block, ids, has_id, texts)`` of bounded size, in order of id, nulls first.
+def cut(
+    frames: Iterator[pd.DataFrame], most: int = BLOCK_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """``(block, ids, has_id, texts)`` of at most ``most`` bytes, in order of id, nulls first.
 
     A null text becomes an empty one.
     """
@@ -71,7 +73,7 @@ def cut(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.nd
         values = ids.fillna(0).astype("int64").to_numpy()
         low, size = 0, 0
         for k in range(len(texts)):
-            if k > low and size + len(texts[k]) > BLOCK_BYTES:
+            if k > low and size + len(texts[k]) > most:
                 yield (base + made, *_ordered(values[low:k], has[low:k], texts[low:k]))
                 made, low, size = made + 1, k, 0
             size += len(texts[k])
