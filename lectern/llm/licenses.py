@@ -26,7 +26,7 @@ GRAM = 3
 #: Diagonals this far apart still belong to one span.
 SLACK = 2
 #: Share of a template's k-grams that a verified span holds at least.
-LEAST_COVERAGE = 0.75
+LEAST_COVERAGE = 0.6
 
 #: Phrases of the base and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
