@@ -25,11 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.blocks import cut
+from lectern.llm.blocks import cut, mix
 from lectern.llm.common import keep_by_id, words
 from lectern.storage import table
 
@@ -49,18 +48,61 @@ UNDETERMINED = "und"
 #: The pipeline rejects texts without a language, and those that are mostly not of one.
 LEAST_SCORE = 0.4
 
-def word_features(word: str) -> list[int]:
-    """Hashed features: the word in the lexicon, its affixes, n-grams and shape."""
-    low = word.lower()
-    core = low.strip(".,;:!?\"'()[]{}|*#$%&<>-_/\\0123456789")
-    if not any(c.isalpha() for c in core):
-        return [1]
-    found = ["w" + core, "s" + ("a" if core.isascii() else "x")]
-    found += [f"p{k}" + core[:k] for k in (1, 2, 3)] + [f"e{k}" + core[-k:] for k in (1, 2, 3)]
-    edged = f"<{core[:24]}>"
-    found += ["g" + edged[i : i + 3] for i in range(len(edged) - 2)]
-    found += ["u" + c for c in set(core) if not c.isascii()]
-    return [2 + xxhash.xxh32_intdigest(f) % (BUCKETS - 2) for f in found]
+_EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_/\\0123456789"
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(kind: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), kind + 1, dtype=np.uint64)
+    for part in parts:
+        h = mix(h * _PRIME + part.astype(np.uint64))
+    return (h % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
+
+
+def _has_letter(word: str) -> bool:
+    return word.isalpha() or any(c.isalpha() for c in word)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words end to end, and where each word's begin.
+
+    The word in the lexicon, prefixes and suffixes of up to three characters,
+    three-character grams with the word's ends, characters beyond ASCII, and
+    whether it has any; a word without letters has one feature of its own.
+    """
+    cores = [w.lower().strip(_EDGES) if _has_letter(w) else "" for w in words]
+    lens = np.array([len(c) for c in cores], dtype=np.int64)
+    codes = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    full = np.flatnonzero(lens)
+    n, start = lens[full], (np.cumsum(lens) - lens)[full]
+    owner = np.repeat(np.arange(len(full)), n)
+    # Each word between two edge marks.
+    edged = np.full(len(codes) + 2 * len(full), ord("<"), dtype=np.uint64)
+    edged[np.arange(len(codes)) + 2 * owner + 1] = codes
+    low = start + 2 * np.arange(len(full))
+    edged[low + n + 1] = ord(">")
+    found = [(np.flatnonzero(lens == 0), np.ones(int((lens == 0).sum()), dtype=np.int64))]
+    if len(full):
+        place = np.arange(len(codes)) - np.repeat(start, n)
+        spread = mix(codes + _PRIME * (place.astype(np.uint64) + np.uint64(1)))
+        whole = np.add.reduceat(spread, start)
+        beyond = codes > 127
+        found.append((full, _bucket(0, whole)))
+        found.append((full, _bucket(1, np.maximum.reduceat(beyond, start))))
+        for k in (1, 2, 3):
+            long = n >= k
+            heads = [edged[low[long] + 1 + i] for i in range(k)]
+            tails = [edged[low[long] + n[long] - i] for i in range(k)]
+            found += [(full[long], _bucket(1 + k, *heads)), (full[long], _bucket(4 + k, *tails))]
+        # As many grams as characters: their middles.
+        middle = np.arange(len(codes)) + 2 * owner + 1
+        found.append((full[owner], _bucket(8, edged[middle - 1], edged[middle], edged[middle + 1])))
+        found.append((full[owner[beyond]], _bucket(9, codes[beyond])))
+    word = np.concatenate([w for w, _ in found])
+    ids = np.concatenate([i for _, i in found])
+    order = np.argsort(word, kind="stable")
+    counts = np.bincount(word, minlength=len(words))
+    return ids[order], np.cumsum(counts) - counts
 
 
 @dataclass
@@ -71,19 +113,30 @@ class Model:
     start: np.ndarray
 
 
-class _Scores(dict):
-    """For each word, its row of scores for all labels; rows live in one table."""
+class _Scores:
+    """Scores of distinct words for all labels, worked out once for each word in a task."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows, self.letters = model, [], []
-
-    def __missing__(self, word: str) -> int:
-        own = word_features(word)
-        self.rows.append(self.model.weights[own].sum(axis=0))
-        self.letters.append(any(c.isalpha() for c in word))
-        self[word] = n = len(self.rows) - 1
-        return n
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.rows = np.empty((0, len(self.model.labels)), dtype="float32")
+        self.letters = np.empty(0, dtype=bool)
+
+    def places_of(self, flat: list[bytes]) -> np.ndarray:
+        """Rows of ``rows`` and ``letters`` for these words; unseen ones are added."""
+        if len(self.places) > REMEMBERED:
+            self.clear()
+        new = [w for w in dict.fromkeys(flat) if w not in self.places]
+        if new:
+            decoded = [w.decode("utf-8", "replace") for w in new]
+            ids, starts = word_features(decoded)
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, np.add.reduceat(self.model.weights[ids], starts)])
+            self.letters = np.concatenate([self.letters, [_has_letter(w) for w in decoded]]).astype(bool)
+        return np.fromiter(map(self.places.__getitem__, flat), dtype=np.int64, count=len(flat))
 
 
 def _unit(x: np.ndarray, axes: int | tuple[int, ...] = -1) -> np.ndarray:
@@ -186,7 +239,9 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Model | None:
         for w in left[j].pop():
             flat_words.append(w)
             flat_labels.append(j)
-    features = {w: word_features(w) for w in set(flat_words)}
+    distinct = sorted(set(flat_words))
+    all_ids, starts = word_features(distinct)
+    features = dict(zip(distinct, np.split(all_ids, starts[1:]), strict=True))
     t = 48
     n = max(1, len(flat_words) // t)
     t = min(t, len(flat_words))
@@ -201,7 +256,7 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Model | None:
             batch = order[low : low + 64]
             own = [features[w] for i in batch for w in seqs[i]]
             counts = np.array([len(f) for f in own])
-            ids = np.concatenate([np.array(f) for f in own])
+            ids = np.concatenate(own)
             offsets = np.cumsum(counts) - counts
             scores = np.add.reduceat(model.weights[ids], offsets, axis=0).reshape(len(batch), t, k)
             both, pairs = pair_marginals(scores, model.start, model.steps)
@@ -256,15 +311,12 @@ def _label(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = _Scores(model)
         for _, ids, has, texts in cut(frames):
-            if len(scores) > REMEMBERED:
-                scores = _Scores(model)
-            split = [t.decode("utf-8", "replace").translate(_SPACES).split(" ") for t in texts]
-            split = [[w for w in ws if w] for ws in split]
+            split = [t.split() for t in texts]  # of bytes: ASCII white space alone
             lengths = np.array([len(ws) for ws in split], dtype=np.int64)
-            at = np.fromiter((scores[w] for ws in split for w in ws), dtype=np.int64, count=int(lengths.sum()))
+            at = scores.places_of([w for ws in split for w in ws])
             labels, values = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if len(at):
-                table_, letters = np.array(scores.rows), np.array(scores.letters)
+                table_, letters = scores.rows, scores.letters
                 full = np.flatnonzero(lengths)
                 m = marginals(table_[at].astype("float64"), lengths[full], model.start, model.steps)
                 m = m * letters[at][:, None]
@@ -284,9 +336,6 @@ def _label(model: Model):
     return run
 
 
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row's whole text."""
     model = fit(sample(docs))
