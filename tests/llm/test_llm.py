@@ -112,13 +112,23 @@ def test_languages_edges(docs):
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
 
 
+def test_word_features_are_each_words_own():
+    """A word's features don't depend on the words around it."""
+    words_ = ["Maison,", "12", "été", "x", "the", "ñandú", "--", "The", "😀a"]
+    ids, starts = languages.word_features(words_)
+    apart = np.split(ids, starts[1:])
+    for w, own in zip(words_, apart, strict=True):
+        assert sorted(languages.word_features([w])[0].tolist()) == sorted(own.tolist())
+    assert sorted(apart[4].tolist()) == sorted(apart[7].tolist()) and apart[1].tolist() == [1]
+
+
 def test_code_switching():
     rows = [("en", f"the dog and cat of house {k}".split()) for k in range(30)] + [("fr", f"le chien de la maison été {k}".split()) for k in range(30)]
     model = languages.fit(rows)
     text = "the dog and the cat of the house le chien de la maison et le chat".split()
     table = languages._Scores(model)
-    m = languages.marginals(np.array([table.model.weights[languages.word_features(w)].sum(axis=0) for w in text]).astype(float),
-                            np.array([len(text)]), model.start, model.steps)
+    at = table.places_of([w.encode() for w in text])
+    m = languages.marginals(table.rows[at].astype(float), np.array([len(text)]), model.start, model.steps)
     assert list(m[:8].argmax(axis=1)) == [0] * 8 and list(m[8:13].argmax(axis=1)) == [1] * 5
 
 
