@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.storage import materialize
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,9 +22,10 @@ def words(text: Column) -> Column:
 def keep_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``) in ``ids``.
 
-    The ids are counted first and broadcast only below :data:`BROADCAST_IDS`;
-    a longer list is joined by a shuffle that adaptive execution can split.
+    The ids are written and counted first, and broadcast only below
+    :data:`BROADCAST_IDS`; a longer list is joined by a shuffle that adaptive
+    execution can split.
     """
-    ids = ids.select("doc_id").distinct()
+    ids = materialize(ids.select("doc_id").distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return docs.join(side, "doc_id", how)
