@@ -146,7 +146,7 @@ def escape_separators(line: Column) -> Column:
 
 def strict_date(text: Column) -> Column:
     """YYYY-MM-DD, or null."""
-    return F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def china_time(epoch: Column) -> Column:

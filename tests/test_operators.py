@@ -156,3 +156,44 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("k long, t long, v string").parquet(f"{tmp_path}/in")
     reviews.run_once(reviews.latest_state(stream, key="k", order=["t"], payload=["v"]), "latest", f"{tmp_path}/cp")
     assert {(r["k"], r["v"]) for r in spark.table("latest").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_changes_need_the_present_version(spark):
+    from lectern.operators import store
+
+    current = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    base = {r["id"]: r["x"] for r in current.select("id", store.version(["v"]).alias("x")).collect()}
+    changes = [(1, "c", base[1], 1), (1, "d", base[1], 2), (2, "e", "old", 1), (3, "f", "x", 1)]
+    after, receipts = store.apply_changes(current, spark.createDataFrame(changes, "id long, v string, base string, seq int"), payload=["v"])
+    assert {(r["id"], r["v"]) for r in after.collect()} == {(1, "c"), (2, "b")}
+    assert {(r["id"], r["seq"], r["status"]) for r in receipts.collect()} == {(1, 1, "committed"), (1, 2, "conflict"), (2, 1, "conflict"), (3, 1, "failed")}
+
+
+def test_outputs_are_new_and_recorded(spark, tmp_path):
+    import json
+
+    from lectern.sources import sinks
+
+    df = spark.createDataFrame([(1, "a\nb")], "id long, v string")
+    out = f"{tmp_path}/out"
+    state = sinks.run_recorded(spark, out, [f"{tmp_path}/in"], lambda: {"rows": df})
+    assert state["status"] == "complete" and state["manifest"]["files"] >= 1
+    assert json.load(open(f"{out}/run.json"))["status"] == "complete"
+    with pytest.raises(FileExistsError):
+        sinks.run_recorded(spark, out, [], lambda: {})
+    with pytest.raises(ValueError):
+        sinks.require_new(spark, f"{tmp_path}/in/x", [f"{tmp_path}/in"])
+    lines = [r["value"] for r in sinks.markdown_list(df, "T", ["id", "v"]).orderBy(F.col("ordinal").asc_nulls_first()).collect()]
+    assert lines == ["# T", "- id: 1; v: a b"]
+
+
+def test_resource_readers(spark, tmp_path):
+    from lectern.sources import resources
+
+    text = ["# subgroup: face-smiling", "1F600 ; fully-qualified # x", "# subgroup: food", "1F34E ; fully-qualified # y", "# subgroup: hands", "1F44F 1F3FB ; fully-qualified # z", "1F3FB ; component # c"]
+    df = spark.createDataFrame(list(enumerate(text)), "n long, value string")
+    assert {r["picture"] for r in resources.emoji_test(df).collect()} == {"😀", "👏🏻"}
+    (tmp_path / "a.xml").write_text('<ldml><annotations><annotation cp="🔨" type="tts">锤子</annotation><annotation cp="🔨">工具</annotation></annotations></ldml>', encoding="utf-8")
+    assert [tuple(r) for r in resources.cldr_names(spark, f"{tmp_path}/a.xml").collect()] == [("🔨", "锤子")]
+    nested = spark.read.json(spark.sparkContext.parallelize(['{"data":{"packages":[{"emote":[{"text":"[doge]"},{"text":"plain"}]}]}}']))
+    assert [r["name"] for r in resources.platform_emotes(nested).collect()] == ["doge"]
