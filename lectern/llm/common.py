@@ -24,7 +24,8 @@ def keep_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
     The ids are written and counted first, and broadcast only below
     :data:`BROADCAST_IDS`; a longer list is joined by a shuffle that adaptive
-    execution can split.
+    execution can split.  Rows without a doc_id match nothing, so ``left_anti``
+    keeps them; rows that share one are kept or dropped together.
     """
     ids = materialize(ids.select("doc_id").distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

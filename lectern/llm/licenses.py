@@ -57,7 +57,10 @@ TEMPLATES = {
 
 
 def _lowered(text: Column) -> Column:
-    """A-Z lower-cased where it matters: every word compared below is ASCII without the letter k's look-alike."""
+    """A-Z lower-cased; characters beyond ASCII may be too, which neither splits words nor makes one equal to a phrase.
+
+    The only one that becomes an ASCII letter is the Kelvin sign, a k, and the phrases of the base have none.
+    """
     return F.lower(F.coalesce(text, F.lit("")))
 
 

@@ -170,7 +170,7 @@ def mixture(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole time."""
+    """``docs`` with each row as often as the mix takes it, to the nearest whole time; rows without a doc_id are left out."""
     mix = materialize(mixture(docs), "mix")
     share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     times = mix.groupBy("doc_id").agg(F.max(share).alias("_times")).where("_times > 0")
