@@ -188,8 +188,51 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _sql_distance(hist: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    p, q = f"({hist}[i] / list_sum({hist}))", f"({reference}[i] / list_sum({reference}))"
+    half = "(CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {q}) / 2)) ELSE 0 END)"
+    terms = " + ".join(half.format(a=a, p=p, q=q) for a in (p, q))
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({hist}) + 1), lambda i: ({terms}) / 2))))"
+
+
+def _sql() -> str:
+    space = r"[^\x20\x09-\x0D]"
+    only = "length(regexp_replace(text, '[^{}]+', '', 'g'))"
+    classes = ", ".join(
+        only.format(c)
+        for c in ("AEIOUaeiou", "B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z", "\\x{80}-\\x{10FFFF}", "0-9", "#*$%&|<>")
+    )
+    seen = ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in COMMON_WORDS)
+    sums = [f"[{', '.join(f'sum({h}[{i + 1}])' for i in range(n))}] AS {h}" for h, n in (("ch", 7), ("wh", len(COMMON_WORDS) + 1))]
+    langs = ", ".join(f"'{x}'" for x in LANGUAGES)
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{space}+') AS ws, [{classes}] AS cs FROM t),
+v AS (SELECT *, list_transform(ws, lambda x: lower(x)) AS lw, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS wc,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM w),
+u AS (SELECT *, [{seen}] AS sn FROM v),
+f AS (SELECT doc_id, lang, len(ws) AS n_words, wc AS word_chars, cs[5] AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  list_concat(cs, [length(text) - wc, wc - list_sum(cs)]) AS ch, list_append(sn, len(ws) - list_sum(sn)) AS wh FROM u),
+g AS (SELECT doc_id, s, array_to_string(ws[s:s + {WINDOW - 1}], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS s FROM w WHERE len(ws) >= {WINDOW})),
+r AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + {WINDOW})) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT lang, {', '.join(sums)} FROM f WHERE lang IN ({langs}) AND n_words >= {LEAST_WORDS} GROUP BY lang),
+j AS (SELECT f.doc_id, min({_sql_distance('f.ch', 'm.ch')}) AS cd, min({_sql_distance('f.wh', 'm.wh')}) AS wd
+  FROM f, m WHERE f.n_words >= {LEAST_WORDS} GROUP BY f.doc_id),
+x AS (SELECT f.*, coalesce(c.n_repeat_words, 0) AS n_repeat_words, cd, wd FROM f LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+    AND NOT coalesce(cd > {MOST_CLASS_DISTANCE} OR wd > {MOST_WORD_DISTANCE}, false) AS kept
+FROM x"""
 
 
 QUERIES = {"op1_quality_divergence": _query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_divergence": _sql()}
