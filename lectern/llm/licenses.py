@@ -172,5 +172,40 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    grams = []
+    for label, texts in TEMPLATES.items():
+        for k, text in enumerate(texts):
+            w = text.split()
+            n = len(w) - GRAM + 1
+            grams += [f"('{label}', {k}, {i}, {n}, '{' '.join(w[i : i + GRAM])}')" for i in range(n)]
+
+    def places(phrase: str) -> str:
+        parts = phrase.split()
+        here = " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(parts))
+        return f"list_transform(list_filter(range(1, len(ws) - {len(parts) - 2}), lambda i: {here}), lambda i: i - 1)"
+
+    found = [places(x) for x in PHRASES]
+    names = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
+    return f"""
+WITH m(label, tpl, place, n, gram) AS (VALUES {', '.join(grams)}),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS ws FROM documents),
+g AS (SELECT doc_id, s - 1 AS pos, array_to_string(ws[s:s + {GRAM - 1}], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {GRAM - 2})) AS s FROM w WHERE len(ws) >= {GRAM})),
+d AS (SELECT doc_id, label, tpl, n, pos - place AS dg, list(DISTINCT place) AS ats FROM g JOIN m USING (gram) GROUP BY ALL),
+e AS (SELECT *, CASE WHEN dg - lag(dg) OVER o <= {SLACK} THEN 0 ELSE 1 END AS apart FROM d WINDOW o AS (PARTITION BY doc_id, label, tpl ORDER BY dg)),
+f AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, label, tpl ORDER BY dg) AS span FROM e),
+h AS (SELECT doc_id, label, len(list_distinct(flatten(list(ats)))) / n AS coverage FROM f GROUP BY doc_id, label, tpl, n, span),
+l AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS best FROM h WHERE coverage >= {LEAST_COVERAGE} GROUP BY doc_id),
+b AS (SELECT doc_id, len(ws) AS n_words, {', '.join(f'{x} AS p{k}' for k, x in enumerate(found))} FROM w),
+c AS (SELECT *, flatten([{', '.join(f'p{k}' for k in range(len(found)))}]) AS ps, list_filter([{names}], lambda x: x IS NOT NULL) AS base FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_base, list_min(ps) AS first_word, list_max(ps) AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ','), '') AS labels,
+  CASE WHEN len(ps) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM c LEFT JOIN l USING (doc_id)"""
+
+
 QUERIES = {"op4_license_diagonals": _query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_license_diagonals": _sql()}
