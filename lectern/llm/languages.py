@@ -45,8 +45,8 @@ EPOCHS = 6
 #: Words of a text that one step of forward-backward runs over.
 PIECE = 192
 UNDETERMINED = "und"
-#: The pipeline rejects texts without a language, and those that are mostly not of one.
-LEAST_SCORE = 0.4
+#: The pipeline rejects texts without a language, and those of which no language has this share.
+LEAST_SCORE = 0.3
 
 _EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_/\\0123456789"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
