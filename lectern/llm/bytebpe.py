@@ -16,6 +16,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -26,7 +27,6 @@ import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
 from lectern.storage import materialize, table
@@ -93,12 +93,15 @@ def _pretokens(pattern: str, n_shards: int):
                 counts.append(len(words))
                 flat.append(np.fromiter(map(seen.__getitem__, words), dtype="<u4", count=len(words)))
             at = np.concatenate(flat)
+            flat.clear()
             # Frequent words get the first places.
             order = np.argsort(-np.bincount(at, minlength=len(seen)), kind="stable")
             place = np.empty(len(order), dtype="<u4")
             place[order] = np.arange(len(order))
             rows = [("documents", -1, block, B.pack_ids(ids, has), np.array(counts, "<i8").tobytes(), _pack_places(place[at]))]
+            del at
             words = [w.encode() for w in seen]
+            seen.clear()
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
             for shard, part in B.by_shard(keys, n_shards):
                 own = sorted(part.tolist(), key=words.__getitem__)
@@ -126,7 +129,9 @@ def _encode(data: bytes, pattern: str):
     return run
 
 
-def _assemble(data: bytes):
+def _assemble(data: bytes, whole: bool):
+    """Documents put together; ``whole`` returns ids and bytes, else only their digests leave the worker."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         ids, has = B.unpack_ids(row["ids"])
@@ -144,15 +149,23 @@ def _assemble(data: bytes):
             low += n
             tokens = b"".join([words[p] for p in own])
             decoded = b"".join([text_of[p] for p in own])
-            rows.append((int(ids[k]) if has[k] else None, len(tokens) // 4, tokens, decoded))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"]).astype({"doc_id": "Int64"})
+            made = (tokens, decoded) if whole else (_sha256(tokens), _sha256(decoded))
+            rows.append((int(ids[k]) if has[k] else None, len(tokens) // 4, *made))
+        names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", *names]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, whole: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``: ids as little-endian unsigned 32-bit integers, and their bytes.
 
+    Without ``whole``, ``ids_sha256`` and ``decoded_sha256`` in their place.
+
     The rank file (under a megabyte) is read on the driver and sent with the tasks.
     """
     data = Path(ranks_path).read_bytes()
@@ -176,23 +189,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     return (
         kept.groupBy("block")
         .cogroup(encoded.groupBy("block"))
-        .applyInPandas(_assemble(data), "doc_id long, n_tokens long, ids binary, decoded binary")
-    )
-
-
-def digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        .applyInPandas(
+            _assemble(data, whole),
+            "doc_id long, n_tokens long, " + ("ids binary, decoded binary" if whole else "ids_sha256 string, decoded_sha256 string"),
+        )
     )
 
 
 def encode_with_public_ranks(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return digest(encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+    return encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, whole=False)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ STRETCH = (6, 40)
 #: Weights are kept for so many hashed features; every word has so many of them.
 BUCKETS = 1 << 17
 #: A word's features are remembered up to so many words in a task.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 EPOCHS = 6
 #: Words of a text that one step of forward-backward runs over.
 PIECE = 192

@@ -295,6 +295,10 @@ def test_bpe(docs):
         ids = known.encode_ordinary(r.text or "")
         g = got[r.doc_id]
         assert (g.n_tokens, g.ids_sha256, g.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode()))
+    whole = rows_of(bytebpe.encode_documents(docs, P.path(bytebpe.RANKS), P.PATTERN))
+    for r in docs.collect():
+        assert bytes(whole[r.doc_id].decoded) == (r.text or "").encode()
+        assert np.frombuffer(bytes(whole[r.doc_id].ids), "<u4").tolist() == known.encode_ordinary(r.text or "")
 
 
 def test_pseudo_likelihood(spark, docs):
