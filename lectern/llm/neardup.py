@@ -7,11 +7,15 @@ prefix, so the depth at which a region is cut adapts to how crowded it is, and
 a region of any size gives a number of candidates in proportion to its rows.
 Candidates are confirmed on their full shingle sets and linked; connected
 components follow.  Then each document is compared with the nearest neighbours
-of *other* components, until a round links nothing new, so a neighbour that was
-near but not near enough doesn't hide one that is.
+of *other* components, until a round links nothing new.  These rounds only save
+work: last, every region of a common prefix is exhausted.  All its pairs of
+different components that no round has tried are compared by size and sketch,
+and those that pass on their full sets, so no neighbour hides another.
 
 The orders are range-partitioned on the whole key with the id, so a region that
-holds a third of all rows lies in many partitions.
+holds a third of all rows lies in many partitions.  A region of more rows than
+one task compares is dealt into chunks, and every two chunks meet in a group of
+their own, but for those of one and the same component.
 
 Cases: a null text, or one without words, has no shingles and is linked with
 nothing; fewer than five words make one shingle; ties in a tree's order are
@@ -53,6 +57,10 @@ LEAST_AGREEMENT = int(FUNCTIONS * 0.628)
 #: Neighbours of other components, on each side, that a document is compared with; in the first round the next one.
 NEIGHBOURS = 2
 MOST_ROUNDS = 40
+#: Rows of a region that are compared in one group; a larger one is dealt into chunks of half as many.
+REGION_ROWS = 4096
+#: Candidates that a task gathers before it hands them on.
+HANDED_PAIRS = 200_000
 #: Rows of the sorted orders in a partition, about.
 SORTED_ROWS = 200_000
 
@@ -185,6 +193,115 @@ def near_pairs(frame: pd.DataFrame, apart: bool) -> pd.DataFrame:
     return pairs.reindex(columns=columns)
 
 
+def _crossing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates of whole groups; rows come in order of tree, region, group and component."""
+    held = None
+    for frame in frames:
+        whole = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        starts = np.flatnonzero(_changes(whole, "tree", "region", "grp"))
+        last = int(starts[-1]) if len(starts) else 0
+        yield from cross_pairs(whole.iloc[:last])
+        held = whole.iloc[last:]
+    if held is not None:
+        yield from cross_pairs(held)
+
+
+def _changes(frame: pd.DataFrame, *columns: str) -> np.ndarray:
+    """Where a row differs from the one before it; true for the first."""
+    out = np.zeros(len(frame), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        values = frame[c].to_numpy()
+        out[1:] |= values[1:] != values[:-1]
+    return out
+
+
+def cross_pairs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """All pairs of a group's rows that differ in component and pass the filters of size and sketch."""
+    m = len(frame)
+    if m < 2:
+        return
+    doc, n, side = (frame[c].to_numpy() for c in ("doc_id", "n", "side"))
+    groups = _changes(frame, "tree", "region", "grp")
+    runs = groups | _changes(frame, "comp")
+    stop = np.append(np.flatnonzero(groups), m)[np.cumsum(groups)]
+    # Components lie together, so what follows a row's own run is of others.
+    other = np.append(np.flatnonzero(runs), m)[np.cumsum(runs)]
+    words = np.zeros((m, -(-FUNCTIONS // 32) * 8), dtype="u1")
+    words[:, : FUNCTIONS // 4] = np.frombuffer(b"".join(frame["sketch"]), dtype="u1").reshape(m, -1)
+    words = words.view("<u8")
+    i, held, size = np.flatnonzero(other < stop), [], 0
+    j = other[i]
+    while len(i):
+        ok = ((side[i] != side[j]) | (side[i] == 0)) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        a, b = i[ok], j[ok]
+        apart = words[a] ^ words[b]
+        unlike = np.bitwise_count((apart | apart >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+        ok = FUNCTIONS - unlike >= LEAST_AGREEMENT
+        if ok.any():
+            x, y = doc[a[ok]], doc[b[ok]]
+            held.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
+            size += len(x)
+            if size >= HANDED_PAIRS:
+                yield pd.concat(held).drop_duplicates()
+                held, size = [], 0
+        j = j + 1
+        ok = j < stop[i]
+        i, j = i[ok], j[ok]
+    if held:
+        yield pd.concat(held).drop_duplicates()
+
+
+def _dealt(rows: DataFrame, crowded: bool) -> DataFrame:
+    """``rows`` with ``grp`` and ``side``, once for each group in which a row is compared.
+
+    Rows of side 0 are compared among themselves, others with the other side.
+    """
+    small = rows.where(F.col("crowd") <= REGION_ROWS).withColumns({"grp": F.lit(0).cast("long"), "side": F.lit(0)})
+    if not crowded:
+        return small
+    half = REGION_ROWS // 2
+    large = rows.where(F.col("crowd") > REGION_ROWS)
+    # A component that fills chunks has its own; the others of a region share theirs.
+    comps = materialize(
+        large.groupBy("tree", "region", "comp")
+        .agg(F.count("*").alias("c"))
+        .withColumn("big", F.col("c") > half)
+        .withColumn("own", F.when(F.col("big"), F.col("comp")).otherwise(0)),
+        "forest-crowds",
+    )
+    at = ["tree", "region", "big", "own"]
+    sides = comps.groupBy(*at).agg(F.ceil(F.sum("c") / half).cast("long").alias("chunks"))
+    chunks = materialize(sides.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))), "forest-chunks")
+    chunk = F.struct("big", "own", "k")
+    left, right = (chunks.select("tree", "region", chunk.alias(c)) for c in ("x", "y"))
+    met = (
+        left.join(right, ["tree", "region"])
+        .where("x <= y and not (x.big and y.big and x.own = y.own)")
+        .withColumn("grp", F.xxhash64("x", "y"))
+    )
+    ends = F.when(F.expr("x = y"), F.array(F.struct(F.col("x").alias("c"), F.lit(0).alias("side")))).otherwise(
+        F.array(*[F.struct(F.col(c).alias("c"), F.lit(s).alias("side")) for s, c in ((1, "x"), (2, "y"))])
+    )
+    ends = met.select("tree", "region", "grp", F.explode(ends).alias("e")).select("tree", "region", "grp", "e.c.*", "e.side")
+    placed = (
+        large.join(comps.drop("c"), ["tree", "region", "comp"])
+        .join(sides, at)
+        .withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+        .drop("chunks")
+    )
+    return small.unionByName(placed.join(ends, [*at, "k"]).select(small.columns))
+
+
+def _region_pairs(rows: DataFrame, n_rows: int, crowded: bool) -> DataFrame:
+    """Distinct candidate pairs of different components, all that any region of any tree has."""
+    parts = max(1, -(-n_rows // SORTED_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = ["tree", "region", "grp"]
+    dealt = _dealt(rows, crowded).repartition(parts, *group).sortWithinPartitions(*group, "comp")
+    found = dealt.select(*group, "comp", "side", "doc_id", "n", "sketch").mapInPandas(_crossing, "a long, b long")
+    return found.distinct()
+
+
 _PAIRS = "a long, b long, tree int, sign binary, sketch binary, n long, comp long, fresh boolean"
 
 
@@ -279,35 +396,45 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
     # Both keys in the join: the rows of a much repeated set don't meet to find their first.
     firsts = heads.withColumnRenamed("head", "doc_id")
-    unique = full.join(firsts, ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    forest = materialize(
-        unique.select("doc_id", F.col("n_shingles").alias("n"), "sketch", trees.alias("x")).select(
-            F.col("x.tree").alias("tree"), F.col("x.sign").alias("sign"), "sketch", "doc_id", "n"
-        ),
-        "forest",
+    unique = materialize(
+        full.join(firsts, ["set_key", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), "sketch", "signs"),
+        "forest-unique",
+    )
+    every = unique.select("doc_id", "n", "sketch", trees.alias("x")).select(
+        F.col("x.tree").alias("tree"), F.substring("x.sign", 1, 2 * LEAST_DEPTH).alias("region"), F.col("x.sign").alias("sign"), "sketch", "doc_id", "n"
     )
-    n_rows = forest.count()
+    # A row that is alone in its region has no candidates there.
+    crowds = every.groupBy("tree", "region").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    forest = materialize(every.join(crowds, ["tree", "region"]), "forest")
+    size = forest.agg(F.count("*").alias("n"), F.max("crowd").alias("most")).first()
+    n_rows, crowded = size["n"], (size["most"] or 0) > REGION_ROWS
     alone = forest.where(F.col("tree") < FIRST_TREES).withColumns({"comp": F.col("doc_id"), "fresh": F.lit(True)})
-    links = confirmed(docs, materialize(_sorted_pairs(alone, n_rows * FIRST_TREES // TREES, False), "forest-near"))
+    alone = alone.select("tree", "sign", "sketch", "doc_id", "n", "comp", "fresh")
+    tried = materialize(_sorted_pairs(alone, n_rows * FIRST_TREES // TREES, False), "forest-near")
+    links = confirmed(docs, tried)
     parts = connected_components(links, "a", "b", contract=True).withColumn("fresh", F.lit(True))
     parts = materialize(parts, "forest-parts")
-    for turn in range(MOST_ROUNDS):
-        placed = forest.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "tree", "sign", "sketch", "doc_id", "n",
+
+    def placed(turn: int) -> DataFrame:
+        return forest.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "tree", "region", "crowd", "sign", "sketch", "doc_id", "n",
             F.coalesce("component", "doc_id").alias("comp"), F.coalesce("fresh", F.lit(turn == 0)).alias("fresh"),
         )
-        pairs = _sorted_pairs(placed, n_rows, True)
-        if turn:
-            # Pairs that were compared before can't link now.
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "forest-apart")
-        tried = tried.unionByName(pairs) if turn else pairs
+
+    for turn in range(MOST_ROUNDS):
+        pairs = _sorted_pairs(placed(turn).drop("region", "crowd"), n_rows, True)
+        # Pairs that were compared before can't link now.
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "forest-apart")
+        tried = tried.unionByName(pairs)
         more = confirmed(docs, pairs)
         if more.isEmpty():
             break
         parts = materialize(joined_parts(parts, more), "forest-parts")
-    else:
-        raise RuntimeError("links did not settle")
+    # What neighbours have not shown: every other pair of a region.
+    pairs = _region_pairs(placed(0), n_rows, crowded).join(tried, ["a", "b"], "left_anti")
+    more = confirmed(docs, materialize(pairs, "forest-rest"))
+    if not more.isEmpty():
+        parts = materialize(joined_parts(parts, more), "forest-parts")
     heads = heads.join(parts.select(F.col("node").alias("head"), "component"), "head", "left").select(
         "set_key", F.coalesce("component", "head").alias("component_id")
     )

@@ -282,6 +282,33 @@ def test_near_copies_in_a_crowd(spark):
     assert got == brute_near(texts)
 
 
+def template_family(pairs=200, shared=160, seed=3):
+    """Texts of 200 words with one template each; two and two are similar at 0.754."""
+    import random
+
+    rng = random.Random(seed)
+    template = [f"t{j}" for j in range(shared)]
+    texts = {}
+    for k in range(pairs):
+        own = [f"o{k}x{j}" for j in range(204 - shared)]
+        one, two = template + own, template + own[:-28] + [f"z{k}x{j}" for j in range(28)]
+        ids = rng.sample(range(10**9), 2)
+        texts[ids[0]], texts[ids[1]] = " ".join(one), " ".join(two)
+    return texts
+
+
+@pytest.mark.parametrize("region_rows", [4096, 32])
+def test_near_copies_in_a_template_family(spark, monkeypatch, region_rows):
+    """Rows of the same region that fail the filters don't take the place of those that link; also in chunks."""
+    if hasattr(neardup, "REGION_ROWS"):
+        monkeypatch.setattr(neardup, "REGION_ROWS", region_rows)
+    texts = template_family()
+    got = {k: (r.n_shingles, r.component_id) for k, r in rows_of(neardup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6))).items()}
+    want = brute_near(texts)
+    assert len({c for _, c in want.values()}) == 200
+    assert got == want
+
+
 def test_bpe(docs):
     import base64
 
