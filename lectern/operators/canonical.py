@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.components import connected_components
+from lectern.storage import materialize
 
 
 def collapse_ids(rows: DataFrame, *, payload: list[str], order: str) -> DataFrame:
@@ -67,36 +69,89 @@ def root_context(rows: DataFrame) -> DataFrame:
     )
 
 
-def parent_chains(spark: SparkSession, rows: DataFrame, *, max_depth: int = 64) -> DataFrame:
-    """``id, chain_length, top_id, context_issue`` by a recursive walk up the parents.
+_WALKED = "id string, chain_length long, top_id string, issue string"
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """The walks of one scope's rows that are marked ``open``, parent by parent."""
+    by_own: dict[str, list[tuple]] = {}
+    for own, parent, i in zip(rows["own"], rows["parent"], rows["id"], strict=True):
+        by_own.setdefault(own, []).append((parent, i))
+    out = []
+    for own, parent, i in rows.loc[rows["open"], ["own", "parent", "id"]].itertuples(index=False):
+        left = [(parent, {own}, 0, None)]
+        while left:
+            next_, seen, n, top = left.pop()
+            while next_ is not None and next_ != "0":
+                if next_ in seen or next_ not in by_own:
+                    out.append((i, n, top, "context_cycle" if next_ in seen else "incomplete_context"))
+                    break
+                seen.add(next_)
+                (parent, top), *others = by_own[next_]
+                n += 1
+                left += [(p, set(seen), n, t) for p, t in others]
+                next_ = parent
+            else:
+                if next_ is not None:
+                    out.append((i, n, top, None))
+    return pd.DataFrame(out, columns=["id", "chain_length", "top_id", "issue"])
+
+
+def parent_chains(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``id, chain_length, top_id, context_issue`` by a walk up the parents, of any length.
 
     ``rows`` has ``scope, own, parent, root, id``.  A walk stops at a parent of
-    ``0``, a missing one, or one that it has met.
+    ``0``, a missing one, or one that it has met.  Every round doubles the steps
+    of all walks; as long as one without a cycle is open, some walk ends in the
+    next round, so what is open after a round that ends none meets a cycle, and
+    is walked by scope.
     """
-    rows.createOrReplaceTempView("lectern_replies")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, scope, next, seen, top_id, n, issue) AS (
-          SELECT id, scope, parent, array(own), CAST(NULL AS STRING), 0,
-                 CAST(NULL AS STRING) FROM lectern_replies
-          UNION ALL
-          SELECT w.id, w.scope,
-                 CASE WHEN array_contains(w.seen, w.next) OR r.id IS NULL THEN '0' ELSE r.parent END,
-                 array_append(w.seen, w.next),
-                 CASE WHEN array_contains(w.seen, w.next) THEN w.top_id ELSE coalesce(r.id, w.top_id) END,
-                 CASE WHEN array_contains(w.seen, w.next) OR r.id IS NULL THEN w.n ELSE w.n + 1 END,
-                 CASE WHEN array_contains(w.seen, w.next) THEN 'context_cycle'
-                      WHEN r.id IS NULL THEN 'incomplete_context' END
-          FROM walk w LEFT JOIN lectern_replies r ON r.scope = w.scope AND r.own = w.next
-          WHERE w.next <> '0' AND size(w.seen) <= {max_depth})
-        SELECT w.id, CAST(w.n AS BIGINT) AS chain_length, w.top_id,
-               coalesce(w.issue, CASE WHEN r.root <> '0' AND w.n > 0 AND NOT (w.top_id <=> t.id)
-                                      THEN 'context_root_mismatch' END) AS context_issue
-        FROM walk w JOIN lectern_replies r ON r.id = w.id
-        LEFT JOIN lectern_replies t ON t.scope = r.scope AND t.own = r.root
-        WHERE w.next = '0'
-        """
+    rows = rows.select("scope", "own", "parent", "root", "id")
+    parents = rows.select("scope", F.col("own").alias("parent"), F.col("id").alias("to"))
+    met = F.col("to").isNotNull()
+    state = materialize(
+        rows.where("parent is not null").join(parents, ["scope", "parent"], "left").select(
+            "scope", "id", "to",
+            F.when(met & (F.col("parent") != "0"), 1).otherwise(0).cast("long").alias("n"),
+            F.when(F.col("parent") != "0", F.col("to")).alias("top_id"),
+            F.when(~met & (F.col("parent") != "0"), "incomplete_context").alias("issue"),
+            (~met | (F.col("parent") == "0")).alias("done"),
+        ),
+        "chains",
+    )
+    while True:
+        on = state.select(
+            "scope", F.col("id").alias("to"), F.col("to").alias("on"), F.col("n").alias("m"),
+            F.col("top_id").alias("above"), F.col("issue").alias("why"), F.col("done").alias("ends"),
+        )
+        moved = materialize(
+            state.where("not done").join(on, ["scope", "to"]).select(
+                "scope", "id", F.col("on").alias("to"), (F.col("n") + F.col("m")).alias("n"),
+                F.coalesce("above", "top_id").alias("top_id"), F.col("why").alias("issue"), F.col("ends").alias("done"),
+            ),
+            "chains-moved",
+        )
+        if moved.where("done").isEmpty():
+            break
+        state = materialize(state.where("done").unionByName(moved), "chains")
+    still = state.where("not done").select("scope", "id").distinct()
+    ended = state.where("done").join(still, ["scope", "id"], "left_anti")
+    ended = ended.select("id", F.col("n").alias("chain_length"), "top_id", "issue")
+    round_ = rows.join(still.select("scope").distinct(), "scope", "left_semi").join(
+        still.withColumn("open", F.lit(True)), ["scope", "id"], "left"
     )
+    round_ = round_.select("scope", "own", "parent", "id", F.coalesce("open", F.lit(False)).alias("open"))
+    walked = ended.unionByName(round_.groupBy("scope").applyInPandas(lambda frame: _walk(frame), _WALKED))
+    tops = rows.select("scope", F.col("own").alias("root"), F.col("id").alias("root_id"))
+    mismatch = (F.col("root") != "0") & (F.col("chain_length") > 0) & ~F.col("top_id").eqNullSafe(F.col("root_id"))
+    return (
+        walked.join(rows.select("id", "scope", "root"), "id")
+        .join(tops, ["scope", "root"], "left")
+        .select(
+            "id", "chain_length", "top_id",
+            F.coalesce("issue", F.when(mismatch, "context_root_mismatch")).alias("context_issue"),
+        )
+    )
 
 
 def first_seen(rows: DataFrame, *, key: str, order: list[str]) -> DataFrame:

@@ -110,6 +110,18 @@ def test_parent_chain_issues(spark):
     assert got == {"a": (0, None), "b": (1, None), "c": (1, "context_cycle"), "d": (1, "context_cycle"), "e": (0, "incomplete_context"), "f": (2, "context_root_mismatch")}
 
 
+def test_parent_chains_of_any_length(spark):
+    """A thread of 200 replies, and a tail of 70 that leads into a cycle of 90."""
+    rows = [("s", str(k), str(k - 1), "0" if k == 1 else "1", f"s{k}") for k in range(1, 201)]
+    rows += [("c", str(k), str(k - 1 if k > 1 else 90), "0", f"c{k}") for k in range(1, 161)]
+    df = spark.createDataFrame(rows, "scope string, own string, parent string, root string, id string")
+    got = {r["id"]: (r["chain_length"], r["top_id"], r["context_issue"]) for r in canonical.parent_chains(spark, df).collect()}
+    want = {f"s{k}": (k - 1, "s1" if k > 1 else None, None) for k in range(1, 201)}
+    want |= {f"c{k}": (89, f"c{k + 1 if k < 90 else 1}", "context_cycle") for k in range(1, 91)}
+    want |= {f"c{k}": (k - 1, "c1", "context_cycle") for k in range(91, 161)}
+    assert got == want
+
+
 def test_capture_lines_and_reasons(spark):
     text = "﻿bv_id,oid,rpid,root_rpid,parent_rpid,ctime,message\r\nBV1234567890,1,2,0,0,1600000000,ok\r\nBV1234567890,1,3,0,0,1600000000,\"a\nb\nc\"\r\nbad,1,1E+5,0,0,5,\r\n"
     df = spark.createDataFrame([("f", bytearray(text.encode()))], "path string, content binary")
