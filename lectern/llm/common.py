@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.storage import materialize
 
-#: A word is a maximal run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word is a maximal run of characters other than ASCII white space.  The characters are listed one by one, as a regex
+#: engine looks such a class up in a table of bits, where it tests a class of ranges range by range.
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 
 #: Id lists up to this many rows (8 bytes each) may be broadcast; the count is taken first.
 BROADCAST_IDS = 2_000_000

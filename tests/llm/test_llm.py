@@ -64,7 +64,7 @@ def test_quality(docs):
         assert (g.n_words, g.word_chars, g.n_symbols) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r.text or ""))
         assert (g.n_dup_lines, g.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
         assert g.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
-        assert not (g.base_failed and g.kept) and (g.class_distance is None) == (len(w) < quality.LEAST_WORDS)
+        assert not (g.base_failed and g.kept) and (g.class_distance is None) == (len(w) < 20)
 
 
 def test_quality_divergence(spark, docs):
@@ -178,6 +178,13 @@ def test_licenses(spark):
     assert got[0].score == 1.0 and got[2].score == 0.0 and 0.5 < got[6].score < 1
 
 
+def test_license_rows_are_judged_each_by_its_own_text(spark):
+    texts = [(None, "Released under the MIT License."), (None, "plain words only"), (3, "plain words"), (3, "Released under the MIT License."), (4, "Released under the MIT Licen\u017fe.")]
+    df = spark.createDataFrame([(i, t, 1, [2]) for i, t in texts], "doc_id long, text string, row long, hits array<int>")
+    got = Counter((r.doc_id, r.n_words, r.labels) for r in licenses.scan(df).collect())
+    assert got == Counter([(None, 5, "mit"), (None, 3, ""), (3, 2, ""), (3, 5, "mit"), (4, 5, "mit")])
+
+
 def test_license_base_against_brute_force(docs):
     got = rows_of(licenses.scan(docs))
     for r in docs.collect():
