@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from lectern.storage import materialize
 #: engine looks such a class up in a table of bits, where it tests a class of ranges range by range.
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 
-#: Id lists up to this many rows (8 bytes each) may be broadcast; the count is taken first.
-BROADCAST_IDS = 2_000_000
+#: Bytes up to which a written table may be broadcast; its rows are counted first.
+BROADCAST_BYTES = 24_000_000
 
 
 def words(text: Column) -> Column:
@@ -20,14 +21,45 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def keep_by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``) in ``ids``.
+def text_hash(text: str = "text") -> Column:
+    """A number that tells apart the texts of rows that share a doc_id; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    The ids are written and counted first, and broadcast only below
-    :data:`BROADCAST_IDS`; a longer list is joined by a shuffle that adaptive
-    execution can split.  Rows without a doc_id match nothing, so ``left_anti``
-    keeps them; rows that share one are kept or dropped together.
+
+def hash_of(text: bytes) -> int:
+    """:func:`text_hash` of a text's bytes, in Python."""
+    h = xxhash.xxh64_intdigest(text, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def hinted(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its counted rows stay below :data:`BROADCAST_BYTES`.
+
+    A longer one is joined by a shuffle that adaptive execution can split.
+    """
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
+def _picked(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    side = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (text_hash() == side["_hash"]), how)
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id (null is an id like others) and text are in ``dropped``.
+
+    ``dropped`` has ``doc_id, text_hash``; a row that only shares the doc_id stays.
     """
-    ids = materialize(ids.select("doc_id").distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, "doc_id", how)
+    listed = materialize(dropped.select("doc_id", "text_hash").distinct(), "dropped")
+    return _picked(docs, hinted(listed, 32), "left_anti").select(*[docs[c] for c in docs.columns])
+
+
+def drop_repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``docs`` with one row for each doc_id and text that ``kept`` (``doc_id, text_hash`` by row) has several times."""
+    often = kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    listed = materialize(often.select("doc_id", "text_hash"), "repeated")
+    n = listed.count()
+    if not n:
+        return docs
+    single = _picked(docs, hinted(listed, 32), "left_anti")
+    return single.unionByName(_picked(docs, hinted(listed, 32), "left_semi").dropDuplicates(["doc_id", "text"]))

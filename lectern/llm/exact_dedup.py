@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import fuse
-from lectern.llm.common import BROADCAST_IDS, keep_by_id
+from lectern.llm.common import drop_repeats, drop_rows, hinted, text_hash
 from lectern.storage import materialize, table
 
 #: Digests that a bucket holds on average, which bounds its filter (about 2.3 bytes a digest) and its task.
@@ -53,7 +53,7 @@ def _screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def exact_groups(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` for each row of ``docs``.
+    """``doc_id, keep_id, group_size, kept, text_sha256, text_hash`` for each row of ``docs``.
 
     The row with the largest doc_id of a group of equal texts stays.
     """
@@ -65,6 +65,7 @@ def exact_groups(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
         base.select(
             "doc_id",
             batch.alias("batch"),
+            text_hash().alias("text_hash"),
             F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"),
         ),
         "digests",
@@ -100,11 +101,9 @@ def exact_groups(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     ends = pairs.select("digest", F.col("old_id").alias("doc_id")).unionByName(
         pairs.select("digest", F.col("new_id").alias("doc_id"))
     )
-    ends = ends.distinct()
-    n_ends = ends.count()
-    side = F.broadcast(ends) if n_ends <= BROADCAST_IDS else ends
+    ends = materialize(ends.distinct(), "digest-ends")
     equal = (
-        base.join(side, "doc_id")
+        base.join(hinted(ends, 64), "doc_id")
         .where(F.unhex(F.sha2(F.col("text").cast("binary"), 256)) == F.col("digest"))
         .groupBy("digest")
         .agg(F.min("text").alias("low"), F.max("text").alias("high"))
@@ -128,17 +127,23 @@ def exact_groups(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row of larger doc_id repeats."""
-    dropped = exact_groups(docs).where("not kept")
-    return keep_by_id(docs, dropped, "left_anti").select(docs.columns)
+    """``docs`` with one row of each group of equal texts, one of the largest doc_id.
+
+    Rows decide, not ids: of rows that share a doc_id only those go whose text is
+    another row's, and where several rows of the group have that largest doc_id
+    (or none has any) one of them stays.
+    """
+    found = materialize(exact_groups(docs).select("doc_id", "text_hash", "kept"), "exact-kept")
+    return drop_repeats(drop_rows(docs, found.where("not kept")), found.where("kept"))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op10_exact_dedup": _query}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.blocks import cut, mix
-from lectern.llm.common import keep_by_id, words
+from lectern.llm.common import drop_rows, hash_of, text_hash, words
 from lectern.storage import table
 
 #: Bounds of the sample that the weights are fitted on.
@@ -330,27 +330,29 @@ def _label(model: Model):
                         values[k] = min(1.0, sums[row, best[row]] / counted[row])
             yield pd.DataFrame(
                 {"doc_id": pd.array([int(i) if h else None for i, h in zip(ids, has, strict=True)], dtype="Int64"),
-                 "lang_pred": labels, "score": values}
+                 "text_hash": np.array([hash_of(t) for t in texts], dtype=np.int64), "lang_pred": labels, "score": values}
             )
 
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row's whole text."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, lang_pred, score`` for each row's whole text."""
     model = fit(sample(docs))
     if model is None:
-        found = docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    else:
-        raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        found = raw.mapInPandas(_label(model), "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+        return docs.select("doc_id", text_hash().alias("text_hash"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return raw.mapInPandas(_label(model), "doc_id long, text_hash long, lang_pred string, score double")
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for each row's whole text."""
+    return labelled(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language can't be told."""
-    rejected = identify(docs).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return keep_by_id(docs, rejected, "left_anti").select(docs.columns)
+    return drop_rows(docs, labelled(docs).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE)))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
