@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from lectern.operators.policies.base import Draft, Edit, SpanSet
+from lectern.operators.policies.base import Draft, Edit, Span, SpanSet
 from lectern.operators.policies.literals import REPLY, brackets, cluster_ends, is_picture, literals, mentions, noun_cue
+from lectern.operators.policies.rules import Doubt, Place, Say, Test, both, carry_out, decide, followed_by, places
 
 # What a picture is compared by.
 COMPARISONS = ("一样", "一般", "似的", "似地", "般的", "般地")
@@ -26,62 +28,56 @@ class Emotes:
         return bad + ["empty_sequence" for x in self.pictures | self.lexical if not x]
 
 
-def _kept_because(text: str, start: int, end: int, lexical: bool, version: int) -> str | None:
-    if cue := noun_cue(text[:start]):
-        return f"{cue}_before_emote"
-    if version == 1:
-        return None
-    after = text[end:].lstrip(" \t")
-    if after.startswith(COMPARISONS):
-        return "comparison_after_emote"
-    if lexical:
-        return "lexical_noun_modifier" if _MODIFIER.match(after) else "lexical_emote"
-    return None
+def _reasons_to_keep(emotes: Emotes, version: int) -> list[tuple[str, Test]]:
+    """Rules for what an emote stands for, where it stands for something."""
+    word = lambda p: p.value in emotes.lexical
+    cued = [(f"{cue}_before_emote", lambda p, cue=cue: noun_cue(p.text[: p.start]) == cue) for cue in ("classifier", "predicate")]
+    later = [
+        ("comparison_after_emote", followed_by(COMPARISONS)),
+        ("lexical_noun_modifier", both(word, followed_by(_MODIFIER))),
+        ("lexical_emote", word),
+    ]
+    return cued + later * (version > 1)
+
+
+def _pictures(text: str, known: frozenset[str], unknown: bool) -> Iterator[tuple[Span, bool]]:
+    """Known sequences, the longest at each place, and with ``unknown`` other pictures; whole clusters only."""
+    borders = cluster_ends(text)
+    whole, by_length, free = set(borders), sorted({len(p) for p in known}, reverse=True), 0
+    for start, end in zip(borders, borders[1:], strict=False):
+        if start >= free:
+            reach = (start + n for n in by_length)
+            free = next((x for x in reach if x in whole and text[start:x] in known), 0)
+            if free:
+                yield (start, free), True
+            elif unknown and is_picture(text[start:end]):
+                yield (start, end), False
 
 
 def rewrite(text: str, emotes: Emotes, version: int = 2) -> Draft:
     """Drop a reply's prefix and the emotes that carry no word; the rest is kept, and in version 2 protected."""
     draft = Draft(text, version=f"comment-policy-v{version}")
-    fixed = literals(text)
+    closed = literals(text)
     reply = REPLY.match(text)
-    if reply and reply[1].strip(" \t") and not fixed.hits(*reply.span()):
+    if reply and reply[1].strip(" \t") and not closed.hits(*reply.span()):
         draft.edits.append(Edit(*reply.span(), "", "omit_reply_prefix"))
-    named = [s for s in brackets(text) if text[s[1] - 1] == "]" and text[s[0] + 1 : s[1] - 1] in emotes.platform]
-    other = [s for s in brackets(text) if s not in set(named)]
-    fixed = fixed | [*mentions(text), *other, *((e.start, e.end) for e in draft.edits)]
-    kept: list[tuple[int, int]] = []
-
-    def weigh(start: int, end: int, reason: str, unknown: bool = False) -> None:
-        if fixed.hits(start, end):
-            return
-        why = _kept_because(text, start, end, text[start:end] in emotes.lexical, version)
-        why = why or ("unknown_unicode_emote" if unknown else None)
-        if why:
-            draft.warn(why, start, end)
-            kept.append((start, end))
-        else:
-            draft.edits.append(Edit(start, end, "", reason))
-
-    for start, end in named:
-        weigh(start, end, "omit_platform_emote")
-    fixed = fixed | named
-    known = emotes.pictures | emotes.lexical if version == 2 else emotes.pictures
-    lengths = sorted({len(p) for p in known}, reverse=True)
-    ends = cluster_ends(text)
-    is_end, skip_to = set(ends), 0
-    for start, end in zip(ends, ends[1:], strict=False):
-        if start < skip_to:
-            continue
-        found = next((start + n for n in lengths if start + n in is_end and text[start : start + n] in known), None)
-        if found:
-            weigh(start, found, "omit_unicode_emote")
-            skip_to = found
-        elif version == 2 and is_picture(text[start:end]):
-            weigh(start, end, "unknown_unicode_emote", unknown=True)
+    bracketed = brackets(text)
+    platform = [x for x in bracketed if text[x[1] - 1] == "]" and text[x[0] + 1 : x[1] - 1] in emotes.platform]
+    closed = closed | [*mentions(text), *(x for x in bracketed if x not in platform), *((e.start, e.end) for e in draft.edits)]
+    pictures = dict(_pictures(text, emotes.pictures | emotes.lexical if version > 1 else emotes.pictures, version > 1))
+    open_pictures = [x for x in pictures if not (closed | platform).hits(*x)]
+    rules = _reasons_to_keep(emotes, version)
+    unknown = {x for x, known in pictures.items() if not known}
+
+    def judge(p: Place) -> Say | Doubt:
+        why = decide(rules, p) or ("unknown_unicode_emote" if p.span in unknown else None)
+        return Doubt(why) if why else Say("", "omit_unicode_emote" if p.span in pictures else "omit_platform_emote")
+
+    doubted = carry_out(draft, places(text, [*(x for x in platform if not closed.hits(*x)), *open_pictures]), judge)
     draft.settle()
     _keep_words_apart(draft)
-    if version == 2:
-        draft.protected = SpanSet((a + draft.shift(a), b + draft.shift(a)) for a, b in kept)
+    if version > 1:
+        draft.protected = SpanSet((a + draft.shift(a), b + draft.shift(a)) for a, b in doubted)
     return draft
 
 
