@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Unicode has it, with the four information separators.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
@@ -81,10 +81,28 @@ def git_blob_sha1(content: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: [t and unicodedata.normalize("NFC", t) for t in ts], na_action="ignore")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def nfc(text: Column) -> Column:
+    """ASCII is in this form already and never leaves the JVM."""
+    return F.coalesce(_nfc(F.when(~is_ascii(text), text)), text)
+
+
+def nfc_each(texts: Column) -> Column:
+    return F.coalesce(_nfc_each(F.when(F.exists(texts, lambda t: ~is_ascii(t)), texts)), texts)
+
+
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
@@ -107,10 +125,21 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
 _MARKS, _PLAIN = "。“”‘’、", ".\"\"'',"
 
 
+def _surface(composed: Column) -> Column:
+    narrow = F.translate(F.translate(composed, _WIDE, _NARROW), _MARKS, _PLAIN)
+    whole = F.regexp_replace(collapse(narrow), f"(?<=[{HAN}]) +| +(?=[{HAN}])", "")
+    # Nothing but its white space changes in ASCII.
+    return F.when(is_ascii(composed), collapse(composed)).otherwise(whole)
+
+
 def surface(text: Column) -> Column:
     """The form in which outputs are compared; word boundaries outside Han stay."""
-    narrow = F.translate(F.translate(nfc(text), _WIDE, _NARROW), _MARKS, _PLAIN)
-    return F.regexp_replace(collapse(narrow), f"(?<=[{HAN}]) +| +(?=[{HAN}])", "")
+    return _surface(nfc(text))
+
+
+def surface_each(texts: Column) -> Column:
+    """:func:`surface` of every text of an array."""
+    return F.transform(nfc_each(texts), _surface)
 
 
 def norm(text: Column) -> Column:

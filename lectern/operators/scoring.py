@@ -5,45 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip, surface
+from lectern.functions.text import strip, surface, surface_each
 
 
-def score_cases(cases: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row a case, with or without a prediction.
+def score_systems(cases: DataFrame, predictions: DataFrame, systems: tuple[str, ...]) -> DataFrame:
+    """One row a case and system, with or without a prediction.
 
     ``cases``: id, family, track, text, refs (array); ``predictions``: id,
-    prediction, status.  A case without a prediction is ``missing``; an empty
-    prediction that claims to be ok is ``empty_or_invalid``; neither leaves the
-    denominator.
+    system, prediction, status.  A case without a prediction is ``missing``; an
+    empty prediction that claims to be ok is ``empty_or_invalid``; neither
+    leaves the denominator.  Surface forms of a case are worked out once for all
+    systems, and only they meet the predictions'.
     """
-    both = cases.join(predictions, "id", "left")
+    own, refs = surface(F.col("text")), surface_each(F.col("refs"))
+    shaped = cases.select("id", "family", "track", own.alias("_t"), "refs", refs.alias("_refs"))
+    asked = shaped.select("*", F.explode(F.array(*map(F.lit, systems))).alias("system"))
     valid = F.coalesce(strip(F.col("prediction")) != "", F.lit(False))
-    status = F.coalesce("status", F.lit("missing"))
-    flat = both.select(
-        "id", "family", "track", "text", "refs",
-        F.when(valid, F.col("prediction")).otherwise("").alias("prediction"),
-        F.when((status == "ok") & ~valid, "empty_or_invalid").otherwise(status).alias("status"),
-        valid.alias("output_valid"),
-    )
-    shaped = flat.withColumns({"_p": surface(F.col("prediction")), "_t": surface(F.col("text"))})
-    shaped = shaped.join(_surfaced_refs(cases), "id")
+    said = predictions.select(
+        "id", "system", "status", valid.alias("output_valid"), F.when(valid, F.col("prediction")).otherwise("").alias("prediction")
+    )
+    said = said.withColumn("_p", surface(F.col("prediction")))
+    both = asked.join(said, ["id", "system"], "left").withColumns(
+        {
+            "output_valid": F.coalesce("output_valid", F.lit(False)),
+            "prediction": F.coalesce("prediction", F.lit("")),
+            "_p": F.coalesce("_p", F.lit("")),
+            "status": F.coalesce("status", F.lit("missing")),
+        }
+    )
+    both = both.withColumn("status", F.when((F.col("status") == "ok") & ~F.col("output_valid"), "empty_or_invalid").otherwise(F.col("status")))
     ok = F.col("status") == "ok"
-    return shaped.select(
-        "id", "family", "track", "status", "output_valid",
+    return both.select(
+        "id", "system", "family", "track", "status", "output_valid",
         (ok & F.array_contains("refs", F.col("prediction"))).alias("strict_correct"),
         (ok & F.array_contains("_refs", F.col("_p"))).alias("surface_correct"),
         (F.col("_p") != F.col("_t")).alias("changed_source"),
     )
 
 
-def _surfaced_refs(cases: DataFrame) -> DataFrame:
-    """Each case's references in their surface forms; an Arrow UDF can't run inside a lambda."""
-    return (
-        cases.select("id", F.explode("refs").alias("r"))
-        .select("id", surface(F.col("r")).alias("r"))
-        .groupBy("id")
-        .agg(F.collect_set("r").alias("_refs"))
-    )
+def score_cases(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """:func:`score_systems` of one system."""
+    return score_systems(cases, predictions.withColumn("system", F.lit("")), ("",)).drop("system")
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -91,11 +93,10 @@ def category(scored: DataFrame) -> Column:
     )
 
 
-def paired_changes(first: DataFrame, second: DataFrame) -> DataFrame:
+def paired_changes(scored: DataFrame, first: str, second: str) -> DataFrame:
     """How two systems differ on the same cases; an id that only one has is an error row."""
-    both = first.select("id", F.col("surface_correct").alias("a")).join(
-        second.select("id", F.col("surface_correct").alias("b")), "id", "full"
-    )
+    marks = [F.bool_or(F.when(F.col("system") == name, F.col("surface_correct"))).alias(x) for name, x in ((first, "a"), (second, "b"))]
+    both = scored.where(F.col("system").isin(first, second)).groupBy("id").agg(*marks)
     change = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), "unpaired")
         .when(~F.col("a") & F.col("b"), "new_matches")
@@ -106,13 +107,10 @@ def paired_changes(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
-def comparison_matrix(scored: dict[str, DataFrame]) -> DataFrame:
+def comparison_matrix(scored: DataFrame, systems: tuple[str, ...]) -> DataFrame:
     """One row a case, one column a system."""
-    rows = None
-    for name, df in scored.items():
-        part = df.select("id", F.lit(name).alias("system"), F.when(F.col("surface_correct"), "match").otherwise(F.col("status")).alias("mark"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("id").pivot("system", list(scored)).agg(F.first("mark"))
+    mark = F.when(F.col("surface_correct"), "match").otherwise(F.col("status")).alias("mark")
+    return scored.select("id", "system", mark).groupBy("id").pivot("system", list(systems)).agg(F.first("mark"))
 
 
 def blind_order(outputs: DataFrame, *, salt: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def _scored(spark: SparkSession, d: str, system: str) -> DataFrame:
     return S.score_cases(_cases(spark, d), _predictions(spark, d, system))
 
 
+def _compared(spark: SparkSession, d: str, systems: tuple[str, ...]) -> DataFrame:
+    said = reduce(DataFrame.unionByName, (_predictions(spark, d, x).withColumn("system", F.lit(x)) for x in systems))
+    return S.score_systems(_cases(spark, d), said, systems)
+
+
 def score_cases(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, "spaced")
 
@@ -65,11 +72,11 @@ def development_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_changes(spark: SparkSession, d: str) -> DataFrame:
-    return S.paired_changes(_scored(spark, d, "identity"), _scored(spark, d, "upper"))
+    return S.paired_changes(_compared(spark, d, SYSTEMS[:2]), *SYSTEMS[:2])
 
 
 def comparison_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return S.comparison_matrix({x: _scored(spark, d, x) for x in SYSTEMS})
+    return S.comparison_matrix(_compared(spark, d, SYSTEMS), SYSTEMS)
 
 
 def latency_stats(spark: SparkSession, d: str) -> DataFrame:
