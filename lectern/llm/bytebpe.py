@@ -34,6 +34,8 @@ from lectern.storage import materialize, table
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a block; the larger, the fewer times a word is sent.
 BLOCK_BYTES = 16_000_000
+#: Buckets that a table may have at most; beyond it a bucket holds several blocks, which are put together one by one.
+MOST_BUCKETS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -171,7 +173,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, whole: b
     data = Path(ranks_path).read_bytes()
     n_shards = B.shard_count(docs)
     # Documents stay where they are written; only words and their ids travel.
-    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // BLOCK_BYTES)
+    n_buckets = min(MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // BLOCK_BYTES))
     split = materialize(
         B.raw(docs).mapInPandas(
             _pretokens(pattern, n_shards),

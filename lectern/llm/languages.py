@@ -20,8 +20,9 @@ same answer each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,9 @@ BUCKETS = 1 << 17
 #: A word's features are remembered up to so many words in a task.
 REMEMBERED = 150_000
 EPOCHS = 6
+#: A word of the sample is in the lexicon if it is in so many of its rows, and in this share of them under one label.
+LEXICON_ROWS = 3
+LEXICON_SHARE = 0.9
 #: Words of a text that one step of forward-backward runs over.
 PIECE = 192
 UNDETERMINED = "und"
@@ -63,14 +67,32 @@ def _has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _core(word: str) -> str:
+    return word.lower().strip(_EDGES) if _has_letter(word) else ""
+
+
+def learned_lexicon(rows: list[tuple[str, tuple[str, ...]]], labels: list[str]) -> dict[str, int]:
+    """Words that the sample has seen under one label alone, or nearly, with the label's place."""
+    seen: dict[str, Counter] = defaultdict(Counter)
+    for lang, listed in rows:
+        for core in {_core(w) for w in listed} - {""}:
+            seen[core][labels.index(lang)] += 1
+    found = {}
+    for core, per in seen.items():
+        (label, n), total = min(per.items(), key=lambda x: (-x[1], x[0])), per.total()
+        if total >= LEXICON_ROWS and n >= LEXICON_SHARE * total:
+            found[core] = label
+    return found
+
+
+def word_features(words: list[str], lexicon: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words end to end, and where each word's begin.
 
-    The word in the lexicon, prefixes and suffixes of up to three characters,
+    The label under which the lexicon has the word, the word itself, prefixes and suffixes of up to three characters,
     three-character grams with the word's ends, characters beyond ASCII, and
     whether it has any; a word without letters has one feature of its own.
     """
-    cores = [w.lower().strip(_EDGES) if _has_letter(w) else "" for w in words]
+    cores = [_core(w) for w in words]
     lens = np.array([len(c) for c in cores], dtype=np.int64)
     codes = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     full = np.flatnonzero(lens)
@@ -82,6 +104,10 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     low = start + 2 * np.arange(len(full))
     edged[low + n + 1] = ord(">")
     found = [(np.flatnonzero(lens == 0), np.ones(int((lens == 0).sum()), dtype=np.int64))]
+    listed = np.array([(lexicon or {}).get(c, -1) for c in cores], dtype=np.int64)
+    in_lexicon = np.flatnonzero(listed >= 0)
+    if len(in_lexicon):
+        found.append((in_lexicon, _bucket(10, listed[in_lexicon] + 1)))
     if len(full):
         place = np.arange(len(codes)) - np.repeat(start, n)
         spread = mix(codes + _PRIME * (place.astype(np.uint64) + np.uint64(1)))
@@ -111,6 +137,7 @@ class Model:
     weights: np.ndarray
     steps: np.ndarray
     start: np.ndarray
+    lexicon: dict[str, int] = field(default_factory=dict)
 
 
 class _Scores:
@@ -132,7 +159,7 @@ class _Scores:
         new = [w for w in dict.fromkeys(flat) if w not in self.places]
         if new:
             decoded = [w.decode("utf-8", "replace") for w in new]
-            ids, starts = word_features(decoded)
+            ids, starts = word_features(decoded, self.model.lexicon)
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, np.add.reduceat(self.model.weights[ids], starts)])
             self.letters = np.concatenate([self.letters, [_has_letter(w) for w in decoded]]).astype(bool)
@@ -240,14 +267,15 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> Model | None:
             flat_words.append(w)
             flat_labels.append(j)
     distinct = sorted(set(flat_words))
-    all_ids, starts = word_features(distinct)
+    lexicon = learned_lexicon(rows, labels)
+    all_ids, starts = word_features(distinct, lexicon)
     features = dict(zip(distinct, np.split(all_ids, starts[1:]), strict=True))
     t = 48
     n = max(1, len(flat_words) // t)
     t = min(t, len(flat_words))
     gold = np.array(flat_labels[: n * t]).reshape(n, t)
     seqs = [flat_words[i * t : (i + 1) * t] for i in range(n)]
-    model = Model(labels, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k))
+    model = Model(labels, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k), lexicon)
     sums = {"w": np.full((BUCKETS, k), 1e-6), "s": np.full((k, k), 1e-6), "b": np.full(k, 1e-6)}
     eye = np.eye(k)
     for epoch in range(EPOCHS):
@@ -345,6 +373,39 @@ def labelled(docs: DataFrame) -> DataFrame:
     return raw.mapInPandas(_label(model), "doc_id long, text_hash long, lang_pred string, score double")
 
 
+def _word_labels(model: Model):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = _Scores(model)
+        names = np.array([*model.labels, None], dtype=object)
+        for _, ids, has, texts in cut(frames):
+            split = [t.split() for t in texts]
+            lengths = np.array([len(ws) for ws in split], dtype=np.int64)
+            at = scores.places_of([w for ws in split for w in ws])
+            found = np.empty(0, dtype=object)
+            if len(at):
+                m = marginals(scores.rows[at].astype("float64"), lengths[lengths > 0], model.start, model.steps)
+                found = names[np.where(scores.letters[at], m.argmax(axis=1), len(model.labels))]
+            ends = np.cumsum(lengths)
+            yield pd.DataFrame(
+                {"doc_id": pd.array([int(i) if h else None for i, h in zip(ids, has, strict=True)], dtype="Int64"),
+                 "labels": [found[b - n : b].tolist() for b, n in zip(ends, lengths, strict=True)]}
+            )
+
+    return run
+
+
+def label_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, labels``: the language of every word of each row's whole text, null for words without letters.
+
+    Without a labelled row to learn from there are no labels.
+    """
+    model = fit(sample(docs))
+    if model is None:
+        return docs.select("doc_id", F.array().cast("array<string>").alias("labels"))
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return raw.mapInPandas(_word_labels(model), "doc_id long, labels array<string>")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row's whole text."""
     return labelled(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

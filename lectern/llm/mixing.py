@@ -10,9 +10,10 @@ Ranks and offsets are prefix sums in two levels (within bounded chunks, and
 over the chunks' totals), so no source, however large, is sorted in one task.
 
 Cases: a null text has size 0 and takes nothing; a null source is a source of
-its own, last in order; an empty table gives no rows; documents that tie in the
-shuffle are ordered by doc_id, and rows that repeat a doc_id are each laid out
-once; other columns are ignored.
+its own, last in order; an empty table gives no rows; the shuffle is by doc_id
+and text, so rows that lack or repeat a doc_id are each laid out by their own
+text, and rows that are equal in both may stand for each other; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD
+from lectern.llm.common import WORD, text_hash
 from lectern.storage import materialize, table
 
 #: Weights dealt to the sources in code-point order, null last.
@@ -115,26 +116,26 @@ def slot_schedule(spark: SparkSession, needs: DataFrame) -> DataFrame:
 def shuffled_lines(sized: DataFrame, n_rows: int) -> DataFrame:
     """``sized`` rows of some size with ``start``, their place in their source's shuffled line."""
     chunks = max(1, -(-n_rows // CHUNK_ROWS))
-    turn = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 1)
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), 1)
     lined = sized.where("size > 0").withColumn("turn", turn)
     lined = lined.withColumn("chunk", F.floor(F.col("turn") / F.lit(2.0**63) * chunks).cast("long"))
     totals = lined.groupBy("sid", "chunk").agg(F.sum("size").alias("t"))
     earlier = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("sid", "chunk", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
-    own = Window.partitionBy("sid", "chunk").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("sid", "chunk").orderBy("turn", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = lined.withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0)))
     start = (F.col("base") + F.col("before")).alias("start")
-    return lined.join(bases, ["sid", "chunk"]).select("doc_id", "sid", "size", start)
+    return lined.join(bases, ["sid", "chunk"]).select("doc_id", "text_hash", "sid", "size", start)
 
 
 def mixture(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``docs``."""
+    """``doc_id, size, source_size, target, taken, text_hash`` for each row of ``docs``."""
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select("doc_id", "source", n_words.alias("size")), "sizes")
+    sizes = materialize(docs.select("doc_id", text_hash().alias("text_hash"), "source", n_words.alias("size")), "sizes")
     n_rows = sizes.count()
     targets = materialize(source_targets(sizes, weights=weights), "targets")
     ids = targets.select(F.col("source").alias("s"), "sid")
-    sized = sizes.join(ids, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "sid", "size")
+    sized = sizes.join(ids, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "text_hash", "sid", "size")
     needs = source_needs(targets)
     # A slot takes its block whole, but for the last pass, which ends after `rest` tokens.
     whole = F.floor(F.col("rank") / F.col("blocks")) < F.col("full")
@@ -162,24 +163,28 @@ def mixture(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
         .agg(F.sum("part").alias("taken"))
     )
     placed = lines.join(taken, ["sid", "start"], "left").select(
-        "doc_id", "sid", "size", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "text_hash", "sid", "size", F.coalesce("taken", F.lit(0)).alias("taken")
     )
     nothing = sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     per = targets.select("sid", "source_size", "target")
-    return placed.unionByName(nothing).join(per, "sid").select("doc_id", "size", "source_size", "target", "taken")
+    return placed.unionByName(nothing).join(per, "sid").select("doc_id", "size", "source_size", "target", "taken", "text_hash")
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole time; rows without a doc_id are left out."""
+    """``docs`` with each row as often as the mix takes it, to the nearest whole time.
+
+    Rows decide, not ids; rows of the same doc_id and text are repeated alike.
+    """
     mix = materialize(mixture(docs), "mix")
     share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = mix.groupBy("doc_id").agg(F.max(share).alias("_times")).where("_times > 0")
-    joined = docs.join(times, "doc_id").withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times")))
-    return joined.select(docs.columns)
+    often = mix.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(share).alias("_times"))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), text_hash().alias("_text"))
+    joined = own.join(often.where("_times > 0"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"))
+    return mixture(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op5_mixing": _query}

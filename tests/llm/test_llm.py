@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import blocks, bytebpe, exact_dedup, fuse, languages, licenses, mixing, neardup, pseudolm, quality, substrings, urls
 
@@ -400,3 +401,132 @@ def test_rolling_hashes():
     h = np.random.default_rng(0).integers(0, 2**63, 50, dtype=np.uint64)
     both = blocks.rolling(np.concatenate([h, h]), 20)
     assert both[3] == both[53] and len(set(both[:50].tolist())) == 50 and len(blocks.rolling(h[:5], 20)) == 0
+
+
+def test_url_addresses(spark):
+    """Relative addresses against the standard resolver."""
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org/x/y", "https://a.org", "http://a.org/q?b=1", "http://a.org/x/"]
+    tos = ["../z", "?b=2", "/r/./s/../t", "//h.net/p", "http://c.d/e", "login?next=https://x", "", "./", "..", "z#f", "../../../up", "a/b/.."]
+    rows = [(b, t) for b in bases for t in tos if t]
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", urls.resolved(F.col("b"), F.col("t")).alias("r")).collect()
+    assert [(r.b, r.t, r.r) for r in got] == [(b, t, urljoin(b, t)) for b, t in rows]
+
+
+def alias_pages(seed=4):
+    """Chains, cycles, conflicts, a giant component, ends that are no page, odd rows."""
+    import random
+
+    rng, pages = random.Random(seed), []
+    hosts = ["a.com", "b.net", "example.net", "www.example.com", "c.org", "D.Org"]
+    url = lambda k: f"http://{hosts[k % 6]}/{['en', 'de', 'fr', 'x'][k % 4]}/p{k}"
+    link = ['<link rel="canonical" href="{}">', "<link href='{}' rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">', "<LINK REL='Canonical' HREF={}>"]
+    for k in range(160):
+        to = url(k + 1) if k < 40 else url(40) if k < 90 else url(rng.randrange(90, 400)) if k < 130 else f"../fr/p{rng.randrange(130, 160)}"
+        html = "<html>" + link[k % 4].format(to) + (link[0].format(url(rng.randrange(300))) if k % 9 == 0 else "") + "<p>" + "x" * (20000 if k == 7 else 5)
+        pages.append((k, url(k), html if k % 13 else None))
+    pages += [(None, url(3), "<p>"), (None, url(3), None), (500, None, "<link rel=canonical href=http://b.net/x>"), (501, "no scheme", None), (502, "", "")]
+    return pages
+
+
+def test_urls_against_brute_force_and_sql(spark, tmp_path):
+    pages = alias_pages()
+    schema = "page_id long, url string, html string, host long, node string, component long, own string"
+    df = spark.createDataFrame([(*p, 1, "n", 2, "allow") for p in pages], schema)
+    node = lambda u: re.sub("#.*$", "", re.sub(r"^[^/?#]*://[^/?#]*", lambda m: m[0].lower(), u))
+    split = lambda u: re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups() if u and "://" in u else ("", "")
+
+    def rule(u):
+        host, path = split(u)
+        host = host.lower()
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    from urllib.parse import urljoin
+
+    near = defaultdict(set)
+    for _, u, html in pages:
+        for tag in re.findall(r"(?i)<(?:link|meta)[^>]*>", html or "") if u is not None else []:
+            to = re.search(r"""(?i)(?:href=|url=)["']?([^"'\s>]+)""", tag)[1]
+            a, b = node(u), node(urljoin(u, to))
+            near[a].add(b)
+            near[b].add(a)
+
+    def component(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    want = []
+    for i, u, _ in pages:
+        name, verdict = rule(u)
+        passed = {rule(x)[1] for x in component(node(u))} if u else set()
+        want.append((i, split(u)[0].lower(), split(u)[1], name, verdict or ("allow" if "allow" in passed else "block" if "block" in passed else "allow")))
+    got = [tuple(r) for r in urls.judge_urls(df).collect()]
+    assert Counter(got) == Counter(want)
+    assert sum(len(component(x)) > 40 for x in list(near)) > 40
+    import duckdb
+
+    df.select("page_id", "url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    assert Counter(con.execute(urls.ORACLES["op9_url_equivalence"]).fetchall()) == Counter(want)
+
+
+def test_marginals_by_enumeration():
+    """Every path of labels weighed by itself."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    scores, start, steps = rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    want = np.zeros((5, 3))
+    for path in product(range(3), repeat=5):
+        weight = math.exp(start[path[0]] + sum(scores[t, path[t]] for t in range(5)) + sum(steps[path[t], path[t + 1]] for t in range(4)))
+        for t in range(5):
+            want[t, path[t]] += weight
+    got = languages.marginals(scores, np.array([5]), start, steps)
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
+
+
+def test_lexicon_and_word_labels(spark):
+    rows = [("en", ("dog", "the,", "12")), ("en", ("Dog", "the", "la")), ("en", ("dog", "the", "la")), ("fr", ("la", "le")), ("fr", ("le", "la")), ("fr", ("le",))]
+    assert languages.learned_lexicon(rows, ["en", "fr"]) == {"dog": 0, "the": 0, "le": 1}
+    with_, without = (languages.word_features(["The", "la", "12"], x) for x in ({"the": 0}, {}))
+    assert len(with_[0]) == len(without[0]) + 1 and with_[1].tolist() == [0, without[1][1] + 1, without[1][2] + 1]
+    docs = [(2 * k, f"the dog and cat of house {k} dog", "en") for k in range(40)] + [(2 * k + 1, f"le chien de la maison été {k}", "fr") for k in range(40)]
+    docs += [(None, "the dog 12 le chien maison", None), (900, None, None), (901, "", "en")]
+    got = languages.label_words(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    by_id = {r.doc_id: r.labels for r in got}
+    assert len(got) == 83 and by_id[900] == [] and len(by_id[None]) == 6 and by_id[None][2] is None
+
+
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(5, "a " * 30, "s"), (5, "b " * 90, "s"), (None, "c " * 40, "s"), (None, "d " * 70, "s"), (None, None, None)] + [(k, "e " * (k + 1), "tt") for k in range(20)]
+    taken = []
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, 1, 2) for r in part], "doc_id long, text string, source string, _times int, size long").repartition(3)
+        taken.append(Counter((r.doc_id, r.size, r.taken) for r in mixing.mixture(df).collect()))
+        assert mixing.repeat_by_mix(df).columns == df.columns and mixing.repeat_by_mix(df).count() >= 0
+    assert taken[0] == taken[1]
+
+
+def test_stages_decide_by_row(spark):
+    """Rows that share an id are judged each by its text; copies without id, or with one id, stay once."""
+    rows = [(5, "a b"), (5, "c d"), (6, "a b"), (None, "n n"), (None, "n n"), (7, "q q"), (7, "q q")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _id int, text_hash int")
+    got = Counter((r.doc_id, r.text) for r in exact_dedup.drop_copies(df).collect())
+    assert got == Counter([(5, "c d"), (6, "a b"), (None, "n n"), (7, "q q")])
+    near = Counter((r.doc_id, r.text) for r in neardup.drop_near_copies(df).collect())
+    assert near == Counter([(5, "a b"), (5, "c d"), (None, "n n"), (None, "n n"), (7, "q q")])
+
+
+def test_text_hash_is_the_same_on_both_sides(spark):
+    from lectern.llm import common
+
+    texts = ["", "a", "é😀" * 50, "x" * 1000, None]
+    got = [r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").select(common.text_hash().alias("h")).collect()]
+    assert got == [common.hash_of((t or "").encode()) for t in texts]
