@@ -25,6 +25,8 @@ BLOCK_BYTES = 2_000_000
 #: Bytes of text for each shard of a key space; bounds what a shard gathers.
 SHARD_BYTES = 8_000_000
 LEAST_SHARDS = 32
+#: Buckets that a table may have at most; beyond it a bucket holds several blocks, which are put together one by one.
+MOST_BUCKETS = 100_000
 
 DOCS_SCHEMA = "block long, ids binary, lens binary, body binary"
 
@@ -107,6 +109,36 @@ def unpack_texts(lens: bytes, body: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Small numbers, byte by byte: the high bytes of frequent words' places are all alike."""
+    planes = [((places >> np.uint32(8 * k)) & np.uint32(255)).astype("u1").tobytes() for k in range(4)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1).astype("<u4")
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+
+
+class Places(dict):
+    """The place of each distinct word, in order of first sight."""
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def join_parts(parts: list[bytes]) -> tuple[bytes, bytes]:
+    body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return pack_places(np.array([len(p) for p in parts], dtype="<u4")), body
+
+
+def split_parts(lens: bytes, body: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack_places(lens), dtype=np.int64).tolist()
+    text = zstandard.ZstdDecompressor().decompress(body)
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import blocks as B
@@ -34,8 +33,6 @@ from lectern.storage import materialize, table
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a block; the larger, the fewer times a word is sent.
 BLOCK_BYTES = 16_000_000
-#: Buckets that a table may have at most; beyond it a bucket holds several blocks, which are put together one by one.
-MOST_BUCKETS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -55,41 +52,11 @@ def _token_bytes(data: bytes) -> dict[int, bytes]:
     return {rank: word for word, rank in _ranks(data).items()}
 
 
-def _pack_places(places: np.ndarray) -> bytes:
-    """Small numbers, byte by byte: the high bytes of frequent words' places are all alike."""
-    planes = [((places >> np.uint32(8 * k)) & np.uint32(255)).astype("u1").tobytes() for k in range(4)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
-
-
-def _unpack_places(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1).astype("<u4")
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
-
-
-class _Places(dict):
-    """The place of each distinct word, in order of first sight."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _join(parts: list[bytes]) -> tuple[bytes, bytes]:
-    body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
-    return _pack_places(np.array([len(p) for p in parts], dtype="<u4")), body
-
-
-def _split(lens: bytes, body: bytes) -> list[bytes]:
-    ends = np.cumsum(_unpack_places(lens), dtype=np.int64).tolist()
-    text = zstandard.ZstdDecompressor().decompress(body)
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
 def _pretokens(pattern: str, n_shards: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = regex.compile(pattern).findall
         for block, ids, has, texts in B.cut(frames, BLOCK_BYTES):
-            seen, counts, flat = _Places(), [], [np.empty(0, "<u4")]
+            seen, counts, flat = B.Places(), [], [np.empty(0, "<u4")]
             for t in texts:
                 words = find(t.decode("utf-8", "replace"))
                 counts.append(len(words))
@@ -100,15 +67,15 @@ def _pretokens(pattern: str, n_shards: int):
             order = np.argsort(-np.bincount(at, minlength=len(seen)), kind="stable")
             place = np.empty(len(order), dtype="<u4")
             place[order] = np.arange(len(order))
-            rows = [("documents", -1, block, B.pack_ids(ids, has), np.array(counts, "<i8").tobytes(), _pack_places(place[at]))]
+            rows = [("documents", -1, block, B.pack_ids(ids, has), np.array(counts, "<i8").tobytes(), B.pack_places(place[at]))]
             del at
             words = [w.encode() for w in seen]
             seen.clear()
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
             for shard, part in B.by_shard(keys, n_shards):
                 own = sorted(part.tolist(), key=words.__getitem__)
-                lens, body = _join([words[k] for k in own])
-                rows.append(("words", shard, block, _pack_places(place[own]), lens, body))
+                lens, body = B.join_parts([words[k] for k in own])
+                rows.append(("words", shard, block, B.pack_places(place[own]), lens, body))
             yield pd.DataFrame(rows, columns=["kind", "shard", "block", "ids", "lens", "body"])
 
     return run
@@ -119,12 +86,12 @@ def _encode(data: bytes, pattern: str):
         encode, known, rows = _encoder(data, pattern).encode_single_piece, {}, []
         for block, places, lens, body in zip(group["block"], group["ids"], group["lens"], group["body"], strict=True):
             found = []
-            for word in _split(lens, body):
+            for word in B.split_parts(lens, body):
                 ids = known.get(word)
                 if ids is None:
                     ids = known[word] = np.array(encode(word), dtype="<u4").tobytes()
                 found.append(ids)
-            lens, body = _join(found)
+            lens, body = B.join_parts(found)
             rows.append((block, places, lens, body))
         return pd.DataFrame(rows, columns=["block", "places", "lens", "body"])
 
@@ -138,10 +105,10 @@ def _assemble(data: bytes, whole: bool):
         row = left.iloc[0]
         ids, has = B.unpack_ids(row["ids"])
         counts = np.frombuffer(row["lens"], "<i8")
-        positions = _unpack_places(row["body"])
+        positions = B.unpack_places(row["body"])
         words: list[bytes] = [b""] * (int(positions.max()) + 1 if len(positions) else 0)
         for places, lens, body in zip(right["places"], right["lens"], right["body"], strict=True):
-            for place, word in zip(_unpack_places(places).tolist(), _split(lens, body), strict=True):
+            for place, word in zip(B.unpack_places(places).tolist(), B.split_parts(lens, body), strict=True):
                 words[place] = word
         table_ = _token_bytes(data)
         text_of = [b"".join(map(table_.__getitem__, np.frombuffer(w, "<u4").tolist())) for w in words]
@@ -173,7 +140,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, whole: b
     data = Path(ranks_path).read_bytes()
     n_shards = B.shard_count(docs)
     # Documents stay where they are written; only words and their ids travel.
-    n_buckets = min(MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // BLOCK_BYTES))
+    n_buckets = min(B.MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // BLOCK_BYTES))
     split = materialize(
         B.raw(docs).mapInPandas(
             _pretokens(pattern, n_shards),

@@ -337,25 +337,48 @@ def test_bpe(docs):
 
 
 def test_pseudo_likelihood(spark, docs):
-    got = rows_of(pseudolm.score_documents(docs))
-    for r in docs.collect():
-        g, n = got[r.doc_id], len((r.text or "").encode().split())
-        assert g.n_words == n and (g.score is None) == (n == 0) and g.log_prob <= 0
+    """Every word's log-probability worked out by itself, from the same network."""
+    got, rows = rows_of(pseudolm.score_documents(docs)), docs.collect()
+    counts = Counter(w for r in rows for w in (r.text or "").encode().split())
+    total = counts.total()
+    net = pseudolm.train(pseudolm.sample(docs, len(rows)), max(pseudolm.LEAST_ROWS, total // 256))
+    row = lambda w: int(pseudolm.rows_of(blocks.WordHashes().array([w]), net.n_rows)[0])
+    noise = net.output[net.noise].astype(float)
+    for r in rows:
+        w = (r.text or "").encode().split()
+        g = got[r.doc_id]
+        assert g.n_words == len(w) and (g.score is None) == (not w)
+        if len(w) > 200:
+            continue
+        want = 0.0
+        for t, word in enumerate(w):
+            x = net.bias.astype(float)
+            for k, d in enumerate((-2, -1, 1, 2)):
+                x = x + net.embed[row(w[t + d]) if 0 <= t + d < len(w) else 0] * net.place[k]
+            h = np.tanh(x)
+            want += min(0.0, math.log(counts[word] / total) + h @ net.output[row(word)] - math.log(np.exp(noise @ h).mean()))
+        assert g.log_prob == pytest.approx(want, rel=1e-4, abs=1e-3)
     again = rows_of(pseudolm.score_documents(docs.repartition(2)))
-    assert all(abs(again[k].log_prob - r.log_prob) < 1e-3 * (1 + abs(r.log_prob)) for k, r in got.items())
-
-
-def test_pseudo_likelihood_prefers_order():
-    """The network learns which class stands between which."""
-    c = pseudolm.CLASSES
-    cells, counts = [], []
+    assert all(abs(again[k].log_prob - r.log_prob) < 1e-4 * (1 + abs(r.log_prob)) for k, r in got.items())
+
+
+def test_pseudo_likelihood_reads_both_sides():
+    """A word that both neighbours call for gains more than one that they don't."""
+    rng = np.random.default_rng(3)
+    w = [f"w{k}".encode() for k in range(6)]
+    stretches = []
+    for _ in range(20000):
+        a, b = rng.integers(3, size=2)
+        stretches.append([w[a], w[3 + (a + b) % 3], w[b]])
+    net = pseudolm.train(stretches, 1 << 10)
+    rows = pseudolm.rows_of(blocks.WordHashes().array(w), net.n_rows)
+    right = 0
     for a in range(3):
         for b in range(3):
-            cells += [(a * c + b) * c + (a + b) % 3]
-            counts += [1000.0]
-    logs = pseudolm.train(np.array(cells), np.array(counts))
-    assert all(logs[a, b].argmax() == (a + b) % 3 for a in range(3) for b in range(3))
-    assert np.allclose(np.exp(logs[0, 1]).sum(), 1, atol=1e-4)
+            around = np.array([[0, rows[a], rows[b], 0]] * 3)
+            right += int(net.gain(rows[3:], around).argmax() == (a + b) % 3)
+    around = np.array([[0, rows[0], rows[0], 0]] * 6)
+    assert right == 9 and net.gain(rows, around)[3:].max() > net.gain(rows, around)[:3].max()
 
 
 def test_exact_groups(docs):
