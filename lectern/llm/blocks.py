@@ -10,10 +10,12 @@ each shard one entry a block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -54,6 +56,14 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, "<u8"), dtype=np.uint64)
 
 
+def tidy() -> None:
+    """Hands freed memory back to the system: a worker is used again by other stages, and keeps what it once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def raw(docs: DataFrame) -> DataFrame:
     """What blocks are cut from: ids, and texts as bytes."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -66,6 +76,7 @@ def cut(
 
     A null text becomes an empty one.
     """
+    tidy()
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 32
     made = 0

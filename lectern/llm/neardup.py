@@ -143,6 +143,7 @@ def _regions(lows: np.ndarray, tree: np.ndarray) -> np.ndarray:
 
 def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``region, tree, node, comp`` for every tree."""
+    B.tidy()
     for frame in frames:
         if not len(frame):
             continue
@@ -232,6 +233,7 @@ def _by_group(of_group):
     """``of_group`` over whole groups; rows come in order of region, group and component."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        B.tidy()
         held = None
         for frame in frames:
             whole = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -400,6 +402,7 @@ def _sorted_pairs(rows: DataFrame, n_rows: int, apart: bool) -> DataFrame:
 
 
 def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    B.tidy()
     unzip = zstandard.ZstdDecompressor().decompress
     for frame in frames:
         hit, last, own = [], None, None
