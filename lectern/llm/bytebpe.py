@@ -78,7 +78,7 @@ def _pretokens(pattern: str, n_shards: int):
                 rows.append(("words", shard, block, B.pack_places(place[own]), lens, body))
             yield pd.DataFrame(rows, columns=["kind", "shard", "block", "ids", "lens", "body"])
 
-    return run
+    return B.tidied(run)
 
 
 def _encode(data: bytes, pattern: str):
@@ -95,7 +95,7 @@ def _encode(data: bytes, pattern: str):
             rows.append((block, places, lens, body))
         return pd.DataFrame(rows, columns=["block", "places", "lens", "body"])
 
-    return run
+    return lambda group: B.tidied_group(run, group)
 
 
 def _assemble(data: bytes, whole: bool):
@@ -123,7 +123,7 @@ def _assemble(data: bytes, whole: bool):
         names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", *names]).astype({"doc_id": "Int64"})
 
-    return run
+    return lambda left, right: B.tidied_group(run, left, right)
 
 
 def _sha256(data: bytes) -> str:

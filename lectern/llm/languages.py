@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.blocks import cut, mix
+from lectern.llm.blocks import cut, mix, tidied
 from lectern.llm.common import drop_rows, hash_of, text_hash, words
 from lectern.storage import table
 
@@ -361,7 +361,7 @@ def _label(model: Model):
                  "text_hash": np.array([hash_of(t) for t in texts], dtype=np.int64), "lang_pred": labels, "score": values}
             )
 
-    return run
+    return tidied(run)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
