@@ -114,6 +114,28 @@ def normalized_key(text: pd.Series) -> pd.Series:
     return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _squeezed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).split()).casefold(), na_action="ignore")
+
+
+def squeezed(text: Column) -> Column:
+    """NFKC without white space, then case-folded; ASCII never leaves the JVM."""
+    plain = F.lower(F.regexp_replace(text, r"[\x09-\x0d\x1c-\x20]+", ""))
+    return F.when(is_ascii(text), plain).otherwise(_squeezed(F.when(~is_ascii(text), text)))
+
+
+def masked_signature(tokens: Column) -> Column:
+    """A sentence of ``array<struct<is_nc,nc_type,canonical>>`` with every noncanonical token as a mark of its type."""
+    said = F.transform(
+        tokens,
+        lambda t: F.when(t["is_nc"], F.concat(F.lit("<NC:"), F.coalesce(t["nc_type"], F.lit("None")), F.lit(">"))).otherwise(
+            F.coalesce(t["canonical"], F.lit(""))
+        ),
+    )
+    return norm(F.array_join(said, " "))
+
+
 def numeric_template(text: Column) -> Column:
     """The key of a text with every number as a placeholder."""
     return F.regexp_replace(normalized_key(text), r"[0-9]+(\.[0-9]+)*", "<number>")
