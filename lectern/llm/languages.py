@@ -42,6 +42,9 @@ STRETCH = (6, 40)
 BUCKETS = 1 << 17
 #: A word's features are remembered up to so many words in a task.
 REMEMBERED = 150_000
+#: Words whose features are worked out at a time, and bytes of text labelled at a time; they bound a worker's memory.
+FEATURE_WORDS = 16_384
+LABEL_BYTES = 1_000_000
 EPOCHS = 6
 #: A word of the sample is in the lexicon if it is in so many of its rows, and in this share of them under one label.
 LEXICON_ROWS = 3
@@ -157,12 +160,15 @@ class _Scores:
         if len(self.places) > REMEMBERED:
             self.clear()
         new = [w for w in dict.fromkeys(flat) if w not in self.places]
-        if new:
-            decoded = [w.decode("utf-8", "replace") for w in new]
+        rows, letters = [self.rows], [self.letters]
+        for low in range(0, len(new), FEATURE_WORDS):
+            decoded = [w.decode("utf-8", "replace") for w in new[low : low + FEATURE_WORDS]]
             ids, starts = word_features(decoded, self.model.lexicon)
+            rows.append(np.add.reduceat(self.model.weights[ids], starts))
+            letters.append(np.array([_has_letter(w) for w in decoded], dtype=bool))
+        if new:
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.add.reduceat(self.model.weights[ids], starts)])
-            self.letters = np.concatenate([self.letters, [_has_letter(w) for w in decoded]]).astype(bool)
+            self.rows, self.letters = np.concatenate(rows), np.concatenate(letters)
         return np.fromiter(map(self.places.__getitem__, flat), dtype=np.int64, count=len(flat))
 
 
@@ -338,7 +344,7 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
 def _label(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = _Scores(model)
-        for _, ids, has, texts in cut(frames):
+        for _, ids, has, texts in cut(frames, LABEL_BYTES):
             split = [t.split() for t in texts]  # of bytes: ASCII white space alone
             lengths = np.array([len(ws) for ws in split], dtype=np.int64)
             at = scores.places_of([w for ws in split for w in ws])
@@ -377,7 +383,7 @@ def _word_labels(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = _Scores(model)
         names = np.array([*model.labels, None], dtype=object)
-        for _, ids, has, texts in cut(frames):
+        for _, ids, has, texts in cut(frames, LABEL_BYTES):
             split = [t.split() for t in texts]
             lengths = np.array([len(ws) for ws in split], dtype=np.int64)
             at = scores.places_of([w for ws in split for w in ws])
