@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("quality", "languages", "substrings", "licenses", "mixing", "neardup", "bytebpe", "pseudolm", "urls", "exact_dedup")
+MODULES: tuple[str, ...] = ("quality", "languages", "substrings", "licenses", "mixing", "neardup", "bytebpe", "pseudolm", "urls", "exact_dedup", "conversations", "alignment", "tokencounts")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
