@@ -1,8 +1,8 @@
 """Reading the input tables and cutting lineage on shared storage.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
-every executor can read.  Only where the session names none (tests on one
-machine) is a folder of our own used.
+every executor can read.  Only where a session on one machine names none is a
+folder of our own used; any other session must name one.
 """
 
 from __future__ import annotations
@@ -24,11 +24,20 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the file system that the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialize(
     df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), buckets: tuple[int, str] | None = None
 ) -> DataFrame:
