@@ -252,9 +252,9 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, *, whole: bool =
 def expand_groups(aligned: DataFrame) -> DataFrame:
     """``doc_id, place, a_id, b_id``: the product of each group of :func:`align_documents`, one row a pair of tokens."""
     each = aligned.where("groups <> ''").select("doc_id", F.posexplode(F.split("groups", ";")).alias("place", "own"))
-    sides = each.select("doc_id", "place", *[F.split(F.split("own", r"\|")[k], ",").alias(n) for k, n in enumerate("ab")])
-    first = sides.select("doc_id", "place", F.explode("a").cast("long").alias("a_id"), "b")
-    return first.select("doc_id", "place", "a_id", F.explode("b").cast("long").alias("b_id"))
+    sides = [F.split(F.split("own", r"\|")[k], ",").cast("array<long>").alias(n) for k, n in enumerate("ab")]
+    first = each.select("doc_id", "place", *sides).select("doc_id", "place", F.explode("a").alias("a_id"), "b")
+    return first.select("doc_id", "place", "a_id", F.explode("b").alias("b_id"))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,5 +220,79 @@ def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _oracle() -> str:
+    """DuckDB SQL: the edits turn by turn in a recursive query, with their lines."""
+
+    def more(state: str, cost: str, letter: str, line: str | None) -> str:
+        lines = f"{state}.lines" if line is None else f"list_append({state}.lines, {line})"
+        return f"case when {state} is not null and {cost} is not null then {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || {letter}, 'lines': {lines}}} end"
+
+    def reach(role: str, name: str, came: str) -> str:
+        line = f"case when initial = '{role}' then role else '{name}' end || ':' || text"
+        cost, letter = f"(case when fault not in ('blank', 'duplicate') then late + case when initial = '{role}' then 0 else 3 end end)", f"case when initial = '{role}' then 'K' else 'R' end"
+        return ", ".join(more(s, cost, letter, line) for s in came)
+
+    def best(*ways: str) -> str:
+        return f"least({', '.join(ways)}, null)"
+
+    drop = {s: more(s, "4", "'D'", None) for s in "esua"}
+    to_s = more("e", "(case when fault not in ('blank', 'duplicate') and initial = 's' then late end)", "'K'", "role || ':' || text")
+    u = best("u", *[more(s, "3", "'I'", "'user:'") for s in "esa"])
+    a = best("a", more("u", "3", "'I'", "'assistant:'"))
+    return f"""
+with recursive given as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+    from conversations
+), dealt as (
+    select *, xor(4294967295, list_reduce(
+        list_concat([4294967295::bigint], list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::bigint)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+            lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end))) % 20 as kind
+    from given
+), damaged as (
+    select conv_id, turn, case kind when 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case kind when 3 then [1, 2] else [1] end) as copy
+    from dealt where kind <> 0
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, left(text, 64), sha256(text), copy) as n from damaged
+), told as (
+    select *, left(role, 1) as initial, case
+        when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+        when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+        when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated'
+        else '' end as fault
+    from placed
+), turns as (
+    select *, case fault when 'truncated' then 3 else 0 end as late,
+        lag(initial) over (partition by conv_id order by n) || initial not in ('su', 'ua', 'au') as apart
+    from told
+), figures as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (apart) as illegal, max(n) as size
+    from turns group by conv_id
+), steps as (
+    select conv_id, 0::bigint as n, e, s, {u.replace("null)", "null::struct(cost bigint, audit varchar, lines varchar[]))")} as u, a
+    from (select conv_id, {{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}} as e,
+        null::struct(cost bigint, audit varchar, lines varchar[]) as s, null::struct(cost bigint, audit varchar, lines varchar[]) as u,
+        null::struct(cost bigint, audit varchar, lines varchar[]) as a from figures)
+    union all
+    select conv_id, n, e, s, {u} as u, a from (
+        select turns.conv_id, turns.n, {drop["e"]} as e, {best(drop["s"], to_s)} as s,
+            {best(drop["u"], reach("u", "user", "esa"))} as u, {best(drop["a"], reach("a", "assistant", "u"))} as a
+        from (select conv_id, n, e, s, u, {a} as a from steps) w join turns on turns.conv_id is not distinct from w.conv_id and turns.n = w.n + 1)
+), ends as (
+    select f.*, least(e, a, null) as w
+    from (select conv_id, n, e, {a} as a from steps) d join figures f on f.conv_id is not distinct from d.conv_id and f.size = d.n
+)
+select g.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(w.cost, 0) as cost, coalesce(w.audit, '') as audit,
+    sha256(coalesce(array_to_string(w.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from given) g left join ends on g.conv_id is not distinct from ends.conv_id
+"""
+
+
 QUERIES = {"op11_conversation_repair": _query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_conversation_repair": _oracle()}
