@@ -13,7 +13,7 @@ most one row for each A id), and travel back to the blocks, where documents
 wait as places in the block's list of pairs.
 
 Cases: a null or empty text, and a text whose tokens don't spell a space and
-the text (a U+2581 in it), has no tokens; a very long text is encoded in pieces
+the text (a U+2581 in it), has no tokens; a very long text is encoded by word
 (``pieces.py``); rows that repeat are aligned alike, one result each, and each
 counts; a null doc_id stays null; an empty table gives no rows; other columns
 are ignored.
@@ -103,39 +103,43 @@ def joined(values: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
     return taken.buffers()[2].to_pybytes()[: int(offsets[-1])], offsets
 
 
-def encode(a_data: bytes, b_data: bytes, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids of both sides of each text, A with a space before it; none for an empty text."""
-    model_a, model_b, cuts = P.tokenizer(a_data, True), P.sentences(b_data), P.spaces_lead(b_data)
-    found: list[list[list]] = [[[], []] for _ in texts]
-    parts = [(k, (" " if not j else "") + p) for k, t in enumerate(texts) if t for j, p in enumerate(P.pieces(t) if cuts else [t])]
-    for own in P.calls(parts):
-        coded_a = model_a.encode_batch_fast([p for _, p in own], add_special_tokens=False)
-        # Every part starts with a space, and the model of B puts one there itself.
-        coded_b = model_b.encode([p[1:] for _, p in own], num_threads=1)
-        for (k, _), a, b in zip(own, coded_a, coded_b, strict=True):
-            found[k][0].append(np.array(a.ids, dtype=np.int64))
-            found[k][1].append(np.array(b, dtype=np.int64))
-    none = np.empty(0, dtype=np.int64)
-    return [(np.concatenate(a), np.concatenate(b)) if a else (none, none) for a, b in found]
+def encode(a_data: bytes, b_data: bytes, texts: list[str]) -> tuple[P.Words, P.Ragged, P.Ragged]:
+    """Texts as words, and the ids of both sides of each distinct word, A with a space before it."""
+    own = P.Words(texts, P.words if P.spaces_lead(b_data) else lambda t: [t])
+    model_a, model_b = P.tokenizer(a_data, True), P.sentences(b_data)
+    found: list[list[list[int]]] = [[], []]
+    for call in own.calls():
+        # The model of B puts a space before every word itself.
+        found[0] += [e.ids for e in model_a.encode_batch_fast([" " + w for w in call], add_special_tokens=False)]
+        found[1] += model_b.encode(call, num_threads=1)
+    return own, P.Ragged(found[0]), P.Ragged(found[1])
+
+
+def union_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``union1d`` of two sorted arrays without repeats, by a merge."""
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
 
 
 class Aligned:
     """Documents aligned together: figures of each, its groups as text, and its links as codes of pairs."""
 
-    def __init__(self, known: Tables, coded: list[tuple[np.ndarray, np.ndarray]], texts: list[bytes]) -> None:
-        sizes = []
-        for k, (t, ids) in enumerate(zip(texts, coded, strict=True)):
-            spelt = [joined(v, i)[0] for v, i in zip(known.bytes, ids, strict=True)]
-            if not t or spelt[0] != spelt[1] or spelt[0] != b" " + t:
-                coded[k] = (ids[0][:0], ids[1][:0])
-                sizes.append(0)
-            else:
-                sizes.append(len(t) + 1)
+    def __init__(self, known: Tables, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, texts: list[bytes]) -> None:
+        """``n_a`` and ``n_b`` tell how many of the tokens ``a`` and ``b`` each text has."""
+        spelt = [joined(v, i) for v, i in zip(known.bytes, (a, b), strict=True)]
+        want = [b" " + t if t else b"" for t in texts]
+        if not spelt[0][0] == spelt[1][0] == b"".join(want):
+            good = np.ones(len(texts), dtype=bool)
+            for (body, offsets), n in zip(spelt, (n_a, n_b), strict=True):
+                at = offsets[np.concatenate([[0], np.cumsum(n)])].tolist()
+                good &= [body[x:y] == w for x, y, w in zip(at, at[1:], want, strict=False)]
+            a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a * good, n_b * good
+            want = [w if ok else b"" for w, ok in zip(want, good.tolist(), strict=True)]
         #: Byte places where documents end; those without tokens are empty.
-        doc_ends = np.cumsum(sizes, dtype=np.int64)
-        a, b = (np.concatenate([c[side] for c in coded]) for side in (0, 1))
+        doc_ends = np.cumsum([len(w) for w in want], dtype=np.int64)
         ends_a, ends_b = np.cumsum(known.lens[0][a]), np.cumsum(known.lens[1][b])
-        union = np.union1d(ends_a, ends_b)
+        union = union_of(ends_a, ends_b)
         own_a, own_b = np.searchsorted(ends_a, union), np.searchsorted(ends_b, union)
         shared = union[(ends_a[own_a] == union) & (ends_b[own_b] == union)] if len(union) else union
         #: The pair of ids of each interval.
@@ -151,17 +155,27 @@ class Aligned:
         at[np.arange(len(b)) + last_a[group_b]] = known.shift + 2 * b + (ends_b == shared[group_b])
         written, places = joined(known.written, at)
 
-        def of_each(ends: np.ndarray) -> np.ndarray:
-            return np.searchsorted(ends, doc_ends, "right")
-
-        upto = [of_each(x) for x in (ends_a, ends_b, shared, union)]
-        per_doc = [np.diff(x, prepend=0) for x in upto]
-        sums = np.concatenate([[0], np.cumsum(products)])[upto[2]]
-        self.figures = dict(zip(_FIGURES, [*per_doc, np.diff(sums, prepend=0)], strict=True))
-        cuts = places[np.concatenate([[0], upto[0] + upto[1]])].tolist()
+        upto = [np.searchsorted(ends, doc_ends, "right") for ends in (shared, union)]
+        n_groups, n_links = (np.diff(x, prepend=0) for x in upto)
+        sums = np.concatenate([[0], np.cumsum(products)])[upto[0]]
+        self.figures = dict(zip(_FIGURES, (n_a, n_b, n_groups, n_links, np.diff(sums, prepend=0)), strict=True))
+        cuts = places[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
         self.groups = [written[x : y - 1] if y > x else b"" for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
+def align(known: Tables, a_data: bytes, b_data: bytes, texts: list[bytes]) -> Iterator[Aligned]:
+    """Texts aligned, some at a time; all their distinct words are encoded first."""
+    # Bytes that are no UTF-8 can't be told from what replaces them, so such a text has no tokens.
+    own, a, b = encode(a_data, b_data, [t.decode("utf-8", "replace") for t in texts])
+    n_a, n_b = own.sums(a.lens), own.sums(b.lens)
+    filled = np.array([len(t) > 0 for t in texts], dtype=bool)
+    for span in _spans(texts):
+        at = own.places[own.starts[span.start] : own.starts[span.stop]]
+        # An empty text is one empty word, which has a token on side A.
+        at = at[np.repeat(filled[span], np.diff(own.starts[span.start : span.stop + 1]))]
+        yield Aligned(known, a.of(at), n_a[span] * filled[span], b.of(at), n_b[span] * filled[span], texts[span])
+
+
 def _spans(texts: list[bytes]) -> Iterator[slice]:
     low, size = 0, 0
     for k, t in enumerate(texts):
@@ -180,10 +194,7 @@ def _align(a_data: bytes, b_data: bytes, whole: bool, frames: Iterator[pd.DataFr
     known = tables(a_data, b_data)
     for block, ids, has, texts in B.cut(frames, BLOCK_BYTES):
         figures, codes, groups = [], [], []
-        for span in _spans(texts):
-            # Bytes that are no UTF-8 can't be told from what replaces them, so such a text has no tokens.
-            own = texts[span]
-            done = Aligned(known, encode(a_data, b_data, [t.decode("utf-8", "replace") for t in own]), own)
+        for done in align(known, a_data, b_data, texts):
             figures.append(np.stack([done.figures[f] for f in _FIGURES]))
             codes.append(done.codes)
             groups += done.groups if whole else [hashlib.sha256(g).hexdigest().encode() if g else b"" for g in done.groups]

@@ -9,10 +9,11 @@ a lost driver left half done is still right.
 
 Normalising may only merge texts of equal count.  For a tokenizer that drops
 white space, runs of ASCII white space become one space and the ends are
-trimmed; for others the text stays as it is.
+trimmed; for others the text stays as it is.  Where words are read apart, the
+texts of a batch are encoded by distinct word (``pieces.py``).
 
-Cases: a null or empty text has no token and no byte; a very long text is
-encoded in pieces where the tokenizer allows it (``pieces.py``); rows that
+Cases: a null or empty text has no token and no byte; a very long text
+that has no place to cut it is encoded whole; rows that
 repeat are counted once and each returned; a null doc_id stays null; an empty
 table appends nothing and gives no rows; other columns are ignored.
 """
@@ -62,20 +63,17 @@ class Counter:
         return F.unhex(F.sha2(text, 256))
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts), dtype=np.int64)
+        """Tokens of each text."""
+        apart = self.drops_white_space if self.is_json else P.spaces_lead(self.data)
+        own = P.Words(texts, P.words if apart else lambda t: [t])
         if self.is_json:
             encode = P.tokenizer(self.data, False).encode_batch_fast
-            cut = P.pieces if self.drops_white_space else (lambda t: [t])
-            for own in P.calls([(k, p) for k, t in enumerate(texts) for p in cut(t)]):
-                found = encode([p for _, p in own], add_special_tokens=False)
-                np.add.at(out, [k for k, _ in own], [len(e) for e in found])
-            return out
-        model, cuts = P.sentences(self.data), P.spaces_lead(self.data)
-        for k, t in enumerate(texts):
-            parts = P.pieces(t) if cuts else [t]
-            # The model puts a space before every text, so a later piece comes without its own.
-            out[k] = sum(map(len, model.encode([p[1:] if j else p for j, p in enumerate(parts)], num_threads=1)))
-        return out
+            found = [len(e) for call in own.calls() for e in encode(call, add_special_tokens=False)]
+        else:
+            # The model puts a space before every text, so a word comes without its own.
+            model = P.sentences(self.data)
+            found = [len(e) for call in own.calls() for e in model.encode(call, num_threads=1)]
+        return own.sums(np.array(found, dtype=np.int64))
 
 
 def _count(counter: Counter):
