@@ -39,7 +39,7 @@ from lectern.storage import materialize, table
 A_MODEL = "byte_bpe_50k.json"
 B_MODEL = "piece_bpe_32k.model"
 #: Bytes of text in a block; a block sends each of its pairs once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 #: Bytes of text that are aligned at once.
 SPAN_BYTES = 1_000_000
 
