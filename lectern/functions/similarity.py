@@ -23,6 +23,9 @@ def _ratio(a: str, b: str, least: float) -> float | None:
 
 
 @F.pandas_udf(DoubleType())
-def near_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """The ratio where it can reach NEAR, else null; both bounds lose no such pair."""
+def _near_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_ratio(a, b, NEAR) if a is not None and b is not None else None for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+#: The ratio where it can reach NEAR, else null; both bounds lose no such pair.  A filter on it is not worked out twice.
+near_ratio = _near_ratio.asNondeterministic()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import near as N
 from lectern.operators import splits as S
 from lectern.operators import trainlog as L
 from lectern.storage import materialize, table
@@ -33,7 +34,32 @@ def fixed_role_violations(spark: SparkSession, d: str) -> DataFrame:
 def near_phrase_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Near pairs among the benchmark's texts, the earlier one first."""
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), T.numeric_template(F.col("text")).alias("key"))
-    return S.near_pairs(rows, rows)
+    return N.near_pairs(rows)
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct phrases of parts (kind, name, brand), each with its first part's key."""
+    text = F.concat_ws(" ", "p_type", "p_name", "p_brand")
+    return table(spark, d, "part").groupBy(text.alias("text")).agg(F.min("p_partkey").alias("id"))
+
+
+def near_part_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Near pairs among the phrases of parts, numbers apart; phrases that are equal but for numbers stand as their first part."""
+    keyed = _phrases(spark, d).select("id", T.numeric_template(F.col("text")).alias("key"))
+    return N.near_pairs(keyed.groupBy("key").agg(F.min("id").alias("pos")))
+
+
+def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
+    """What of earlier phrases (of parts above size 20, some in capitals) the other parts' phrases repeat, and how."""
+    def side(own: DataFrame, text: Column) -> DataFrame:
+        found = own.groupBy(text.alias("text")).agg(F.min("p_partkey").alias("id"))
+        return materialize(found.select("id", "text", T.normalized_key(F.col("text")).alias("key"), T.numeric_template(F.col("text")).alias("template")), "phrases")
+
+    parts, text = table(spark, d, "part"), F.concat_ws(" ", "p_name", "p_brand")
+    seeds = side(parts.where("p_size <= 20"), text)
+    history = side(parts.where("p_size > 20"), F.when(F.col("p_type") == "ECONOMY", F.upper(text)).otherwise(text))
+    found = N.matches(seeds, history)
+    return found.groupBy("left", "kind").agg(F.count("*").alias("n"), F.min("right").alias("first"), F.min("similarity").alias("least"))
 
 
 def heldout_leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -45,18 +71,14 @@ def grouped_split(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.numeric_template(F.col("text")).alias("key"),
         F.when(F.col("text").rlike("[0-9]"), "core_tn").otherwise("preservation").alias("track"))
     items = materialize(items, "split-items")
-    near = S.near_pairs(items.select(F.col("id").alias("pos"), "key"), items.select(F.col("id").alias("pos"), "key"))
+    near = N.near_classes(items.select(F.col("id").alias("pos"), "key"))
     groups = materialize(S.linked_groups(items, ["key"], near).join(items.select("id", "track"), "id"), "split-groups")
-    per = groups.groupBy("group_id", "track").agg(F.count("*").alias("n"))
-    # The table of groups, each with its tracks; the allocation is sequential over it.
-    listed: dict[str, dict] = {}
-    for row in per.toLocalIterator():
-        g = listed.setdefault(row["group_id"], {"group_id": row["group_id"], "rows": 0, "tracks": {}})
-        g["rows"] += row["n"]
-        g["tracks"][row["track"]] = row["n"]
-    chosen = S.allocate(list(listed.values()), seed=20260928, most=max(64, sum(g["rows"] for g in listed.values()) // 4))
-    side = spark.createDataFrame([(g, "validation" if g in chosen else "train") for g in sorted(listed)], "group_id string, role string")
-    return groups.join(side, "group_id").select("id", "group_id", "track", "role")
+    # A group has a few tracks, by name.
+    per = groups.groupBy("group_id", "track").agg(F.count("*").alias("n")).groupBy("group_id")
+    per = per.agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("track", "n"))).alias("tracks"))
+    chosen = S.allocate(materialize(per, "split-sizes"), seed=20260928)
+    role = F.when(F.col("group_id").isin(*chosen, ""), "validation").otherwise("train")
+    return groups.select("id", "group_id", "track", role.alias("role"))
 
 
 def seed_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +121,7 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        template_components, fixed_role_violations, near_phrase_pairs, heldout_leakage, grouped_split, seed_audit,
+        template_components, fixed_role_violations, near_phrase_pairs, near_part_phrases, phrase_matches, heldout_leakage, grouped_split, seed_audit,
         micro_batches, weighted_loss, best_checkpoint, lr_schedule,
     )
 }
@@ -108,7 +130,46 @@ _KEYS = r"""k AS (SELECT doc_id AS id, text AS exact, regexp_replace(regexp_repl
 e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.exact = b.exact OR a.template = b.template WHERE a.id <> b.id),
 r AS (SELECT id AS n, id AS m FROM k UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a),
 p AS (SELECT n AS id, min(m) AS component FROM r GROUP BY n)"""
+
+
+def _ratios(keys: str, pairs: str) -> str:
+    """CTEs that end in ``ratios(x, y, r)``: the matcher's ratio of pairs of ``keys(id, key)`` that ``pairs`` (a condition on x, y) joins.
+
+    Each step finds the longest common run between two places of each side, the
+    first in x, then in y, and goes on to the left and to the right of it.  Pairs
+    whose lengths or letters can't reach the bound are left out first.
+    """
+    common = "coalesce(list_position(list_transform(range(0, least(ah - i, bh - j)), lambda t: ka[i + t + 1] <> kb[j + t + 1]), true) - 1, least(ah - i, bh - j))"
+    # A run begins where the letters before it differ.
+    begins = "ka[i + 1] = kb[j + 1] AND (i = al OR j = bl OR ka[i] <> kb[j])"
+    longest = f"list_max(list_transform(range(al, ah), lambda i: list_max(list_transform(range(bl, bh), lambda j: {{'k': CASE WHEN {begins} THEN {common} ELSE 0 END, 'i': -i, 'j': -j}}))))"
+    bag = "list_sum(list_transform(list_distinct(string_split(x.key, '')), lambda c: least(length(x.key) - length(replace(x.key, c, '')), length(y.key) - length(replace(y.key, c, '')))))"
+    return f"""keys AS ({keys}),
+cands AS (SELECT x.id AS x, y.id AS y, x.key AS ka, y.key AS kb FROM keys x JOIN keys y ON {pairs} AND x.key <> y.key
+  AND 2 * least(length(x.key), length(y.key)) >= 0.82 * (length(x.key) + length(y.key)) AND 2 * {bag} >= 0.82 * (length(x.key) + length(y.key)) - 1e-9),
+runs AS (SELECT x, y, ka, kb, al, ah, bl, bh, {longest} AS m FROM (SELECT *, 0 AS al, length(ka) AS ah, 0 AS bl, length(kb) AS bh FROM cands)
+  UNION ALL SELECT x, y, ka, kb, al, ah, bl, bh, {longest} AS m FROM (
+    SELECT x, y, ka, kb, unnest([al, m.k - m.i]) AS al, unnest([-m.i, ah]) AS ah, unnest([bl, m.k - m.j]) AS bl, unnest([-m.j, bh]) AS bh
+    FROM runs WHERE m.k > 0) WHERE al < ah AND bl < bh),
+ratios AS (SELECT x, y, 2.0::DOUBLE * sum(m.k) / (length(any_value(ka)) + length(any_value(kb))) AS r FROM runs GROUP BY x, y)"""
+
+
+_TEMPLATE = "regexp_replace(regexp_replace(lower({}), '[ \\t\\n\\r]+', '', 'g'), '[0-9]+(\\.[0-9]+)*', '<number>', 'g')"
+_PHRASES = f"SELECT min(p_partkey) AS id, {_TEMPLATE.format("p_type || ' ' || p_name || ' ' || p_brand")} AS key FROM part GROUP BY 2"
+_SIDES = f"""t AS (SELECT *, p_name || ' ' || p_brand AS s FROM part),
+l AS (SELECT s AS text, min(p_partkey) AS id FROM t WHERE p_size <= 20 GROUP BY 1),
+r AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN upper(s) ELSE s END AS text, min(p_partkey) AS id FROM t WHERE p_size > 20 GROUP BY 1),
+both_sides AS (SELECT l.id AS a, r.id AS b, l.text AS ta, r.text AS tb, {_TEMPLATE.format("l.text")} AS ka, {_TEMPLATE.format("r.text")} AS kb FROM l, r)"""
+
 ORACLES = {
+    "near_phrase_pairs": f"WITH RECURSIVE {_ratios('SELECT item_id AS id, ' + _TEMPLATE.format('text') + ' AS key FROM benchmark', 'x.id < y.id')} "
+    "SELECT x AS a, y AS b, round(r, 6) AS ratio FROM ratios WHERE r >= 0.82",
+    "near_part_phrases": f"WITH RECURSIVE {_ratios(_PHRASES, 'x.id < y.id')} SELECT x AS a, y AS b, round(r, 6) AS ratio FROM ratios WHERE r >= 0.82",
+    "phrase_matches": f"""WITH RECURSIVE {_SIDES}, {_ratios("SELECT DISTINCT k AS id, k AS key FROM (SELECT unnest([ka, kb]) AS k FROM both_sides)", 'true')},
+found AS (SELECT a, CASE WHEN ta = tb THEN 'exact' WHEN lower(ta) = lower(tb) THEN 'normalized' ELSE 'numeric_template' END AS kind, b, 1.0::DOUBLE AS similarity
+  FROM both_sides WHERE ka = kb
+  UNION ALL SELECT a, 'near_phrase', b, round(r, 6) FROM both_sides JOIN ratios ON ratios.x = ka AND ratios.y = kb WHERE r >= 0.82)
+SELECT a AS "left", kind, count(*) AS n, min(b) AS first, min(similarity) AS least FROM found GROUP BY 1, 2""",
     "template_components": f"WITH RECURSIVE {_KEYS} SELECT id, component FROM p",
     "fixed_role_violations": f"""WITH RECURSIVE {_KEYS} SELECT component, count(*) AS n FROM p GROUP BY component
 HAVING count(DISTINCT CASE WHEN sha256(CAST(id AS VARCHAR)) < '4' THEN 1 ELSE 0 END) > 1""",

@@ -1,5 +1,6 @@
 """Operators on literal rows and against plain restatements."""
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import spans as S
 from lectern.functions import text as T
-from lectern.operators import canonical, review, splits
+from lectern.operators import canonical, near, review, splits
 from lectern.operators.components import connected_components
 from lectern.operators.local import span_output
 from lectern.plans.sampling import balanced_sample
@@ -72,29 +73,115 @@ def test_spans(spark):
     assert [tuple(x) for x in row["p"]] == [(6, 8)] and row["bad"] is None
 
 
-def test_near_pairs_lose_none(spark):
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(5, 60))) for _ in range(25)]
-    texts = base + [t[:-2] + "zz" for t in base] + [t + t[:4] for t in base]
+def brute_near(left, right=None):
+    """``{(a, b): ratio}`` over all pairs, of one list or of two."""
+    out = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(left if right is None else right):
+            if (right is not None or i < j) and a is not None and b is not None and a != b:
+                ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+                if ratio >= 0.82:
+                    out[i, j] = round(ratio, 6)
+    return out
+
+
+def phrases(seed, n, alphabet, least, most):
+    """Phrases with variants: letters dropped, put in, swapped, whole ends moved; some of them equal."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(least, most))) for _ in range(n)]
+    out = []
+    for t in base:
+        out.append(t)
+        for _ in range(5):
+            s = list(t)
+            for _ in range(rng.randrange(0, max(2, len(t) // 5))):
+                k = rng.randrange(len(s) + 1)
+                change = rng.randrange(3)
+                s[k : k + (change != 1)] = rng.choice(alphabet) if change else ""
+            out.append("".join(s))
+        out.append(t[len(t) // 5 :] + t[: len(t) // 5])
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("alphabet", "least", "most", "n"), [("abcdefghij ", 8, 60, 40), ("ab", 1, 14, 12), ("aab😊é字 ", 1, 12, 15), ("abcdefghijklmnopqrstuvwxyz", 1, 9, 40)])
+def test_near_pairs_lose_none(spark, alphabet, least, most, n):
+    texts = [*phrases(5, n, alphabet, least, most), "", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "pos long, key string").repartition(3)
+    got = {(r["a"], r["b"]): r["ratio"] for r in near.near_pairs(rows).collect()}
+    assert got == brute_near(texts) and len(got) > 60
+    half = len(texts) // 2
+    left, right = texts[:half], texts[half:]
+    sides = [spark.createDataFrame(list(enumerate(t)), "pos long, key string") for t in (left, right)]
+    assert {(r["a"], r["b"]): r["ratio"] for r in near.near_pairs(*sides).collect()} == brute_near(left, right)
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    linked = {tuple(sorted((first[texts[a]], first[texts[b]]))) for a, b in brute_near(texts)}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in near.near_classes(rows).collect()} == linked
+
+
+def test_near_candidates_are_few(spark):
+    """Filters leave a small part of all pairs, each once, and no near pair is lost."""
+    texts = sorted(set(phrases(11, 90, "abcdefghijklmnopqrstuvwxyz ", 15, 60)))
     rows = spark.createDataFrame(list(enumerate(texts)), "pos long, key string")
-    got = {(r["a"], r["b"]): r["ratio"] for r in splits.near_pairs(rows, rows).collect()}
-    want = {}
-    for i, a in enumerate(texts):
-        for j in range(i + 1, len(texts)):
-            ratio = SequenceMatcher(None, a, texts[j], autojunk=False).ratio()
-            if ratio >= 0.82 and a != texts[j]:
-                want[i, j] = round(ratio, 6)
-    assert got == want and want
-
-
-def test_allocation_leaves_every_track_something():
-    groups = [{"group_id": f"g{i}", "rows": 1 + i % 3, "tracks": {"a" if i % 2 else "b": 1 + i % 3}} for i in range(20)]
-    chosen = splits.allocate(groups, seed=1)
-    rows = sum(g["rows"] for g in groups if g["group_id"] in chosen)
-    assert abs(rows - round(0.2 * sum(g["rows"] for g in groups))) <= 2
-    for track in "ab":
-        sides = {g["group_id"] in chosen for g in groups if track in g["tracks"]}
-        assert sides == {True, False}
+    keys = near._keys(rows, None)
+    found = near.candidates(keys)
+    pairs = [tuple(r) for r in found.collect()]
+    left = near._counted(found, keys).count()
+    hits, everything = len(brute_near(texts)), len(texts) * (len(texts) - 1) // 2
+    assert len(set(pairs)) == len(pairs) and hits > 300
+    assert len(pairs) < everything // 20 and hits <= left < 2 * hits + 50
+
+
+def test_near_pairs_of_nothing(spark):
+    rows = spark.createDataFrame([], "pos long, key string")
+    assert near.near_pairs(rows).count() == near.near_classes(rows).count() == near.near_pairs(rows, rows).count() == 0
+
+
+def test_match_kinds(spark):
+    seeds = ["版本12可用", "Ａbc  12.5 ok", "total 7 items", "a phrase of some length", "apart"]
+    other = ["版本12可用", "abc 12.5 OK", "abc 9 ok", "total 12.50 items", "a phrase of same length", "zzz", "a phrase of some length"]
+    sides = [spark.createDataFrame(list(enumerate(t)), "id long, text string").select("id", "text", T.normalized_key(F.col("text")).alias("key"), T.numeric_template(F.col("text")).alias("template")) for t in (seeds, other)]
+    got = {(r["left"], r["right"]): (r["kind"], r["similarity"]) for r in near.matches(*sides).collect()}
+    ratio = round(SequenceMatcher(None, "aphraseofsomelength", "aphraseofsamelength", autojunk=False).ratio(), 6)
+    assert got == {(0, 0): ("exact", 1.0), (1, 1): ("normalized", 1.0), (1, 2): ("numeric_template", 1.0), (2, 3): ("numeric_template", 1.0),
+                   (3, 4): ("near_phrase", ratio), (3, 6): ("exact", 1.0)}
+
+
+def taken_one_by_one(groups, seed, share, most):
+    """The allocation as its definition puts it, over a list."""
+    order = sorted(groups, key=lambda g: hashlib.sha256(f"{seed}\0{g['group_id']}".encode()).hexdigest())
+    total = sum(g["rows"] for g in groups)
+    tracks = {t: sum(g["tracks"].get(t, 0) for g in groups) for g in groups for t in g["tracks"]}
+    target, side = round(total * share), []
+
+    def may(g):
+        rows = sum(x["rows"] for x in side) + g["rows"]
+        return g not in side and rows < total and rows <= most and all(sum(x["tracks"].get(t, 0) for x in side) + n < tracks[t] for t, n in g["tracks"].items())
+
+    for g in order:
+        have = sum(x["rows"] for x in side)
+        if abs(have + g["rows"] - target) < abs(have - target) and may(g):
+            side.append(g)
+    for t in sorted(tracks):
+        if not any(x["tracks"].get(t) for x in side):
+            fits = [g for g in groups if g["tracks"].get(t) and may(g)]
+            side += [min(fits, key=lambda g: (g["rows"], g["group_id"]))] if fits else []
+    return sorted(g["group_id"] for g in side)
+
+
+@pytest.mark.parametrize(("n", "share", "most", "ahead"), [(20, 0.2, 64, 512), (60, 0.3, 16, 4), (60, 0.3, 64, 7), (5, 0.9, 64, 2), (1, 0.5, 64, 3)])
+def test_allocation(spark, monkeypatch, n, share, most, ahead):
+    monkeypatch.setattr(splits, "_LOOK_AHEAD", ahead)
+    rng = random.Random(n)
+    groups = []
+    for i in range(n):
+        tracks = {t: rng.randrange(1, 4) for t in rng.sample("abcd", rng.randrange(1, 3))}
+        groups.append({"group_id": f"g{i}", "rows": sum(tracks.values()), "tracks": tracks})
+    df = spark.createDataFrame([(g["group_id"], g["rows"], g["tracks"]) for g in groups], "group_id string, rows long, tracks map<string,long>")
+    assert splits.allocate(df, seed=1, share=share, most=most) == taken_one_by_one(groups, 1, share, most)
+    assert splits.allocate(df.limit(0), seed=1) == []
 
 
 def test_linked_groups(spark):
@@ -123,7 +210,7 @@ def test_parent_chains_of_any_length(spark):
 
 
 def test_capture_lines_and_reasons(spark):
-    text = "﻿bv_id,oid,rpid,root_rpid,parent_rpid,ctime,message\r\nBV1234567890,1,2,0,0,1600000000,ok\r\nBV1234567890,1,3,0,0,1600000000,\"a\nb\nc\"\r\nbad,1,1E+5,0,0,5,\r\n"
+    text = "﻿bv_id,oid,rpid,root_rpid,parent_rpid,ctime,message\r\nBV1234567891,1,2,0,0,1600000000,ok\r\nBV1234567891,1,3,0,0,1600000000,\"a\nb\nc\"\r\nbad,1,1E+5,0,0,5,\r\n"
     df = spark.createDataFrame([("f", bytearray(text.encode()))], "path string, content binary")
     rows = capture.judge(capture.scan(df), before=1_700_000_000).orderBy("record_number").collect()
     assert [(r["record_number"], r["line_start"], r["line_end"]) for r in rows] == [(2, 2, 2), (3, 3, 5), (4, 6, 6)]
