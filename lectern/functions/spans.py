@@ -66,22 +66,30 @@ def shift_before(edits: Column, at: Column) -> Column:
     )
 
 
+def placed(edits: Column) -> Column:
+    """``start, end, to, to_end``: where each of some edits stands before and after, in one fold."""
+    kind = "struct<start:int,end:int,to:int,to_end:int>"
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("shift"))
+
+    def step(acc: Column, e: Column) -> Column:
+        to = e["start"] + acc["shift"]
+        end = to + F.length(e["replacement"])
+        own = F.struct(e["start"].alias("start"), e["end"].alias("end"), to.alias("to"), end.alias("to_end"))
+        return F.struct(F.concat(acc["done"], F.array(own.cast(kind))).alias("done"), (acc["shift"] + F.length(e["replacement"]) - (e["end"] - e["start"])).cast("int").alias("shift"))
+
+    return F.aggregate(edits, none, step, lambda acc: acc["done"])
+
+
 def output_spans(edits: Column) -> Column:
     """Where the replacements stand in the text after the edits."""
-    return F.transform(
-        edits, lambda e: span(e["start"] + shift_before(edits, e["start"]), e["start"] + shift_before(edits, e["start"]) + F.length(e["replacement"]))
-    )
+    return F.transform(placed(edits), lambda e: span(e["to"], e["to_end"]))
 
 
 def inverse(text: Column, edits: Column) -> Column:
     """The edits that lead back."""
     return F.transform(
-        edits,
-        lambda e: F.struct(
-            (e["start"] + shift_before(edits, e["start"])).alias("start"),
-            (e["start"] + shift_before(edits, e["start"]) + F.length(e["replacement"])).alias("end"),
-            F.substring(text, e["start"] + 1, e["end"] - e["start"]).alias("replacement"),
-        ),
+        placed(edits),
+        lambda e: F.struct(e["to"].alias("start"), e["to_end"].alias("end"), F.substring(text, e["start"] + 1, e["end"] - e["start"]).alias("replacement")),
     )
 
 

@@ -64,7 +64,10 @@ POLICIES = tuple(_STAGES)
 
 
 def policy(name: str):
-    """The policy ``name`` as a column function; the tables are checked before any row is read."""
+    """The policy ``name`` as a column function; the tables are checked before any row is read.
+
+    It counts as nondeterministic, so that a plan that looks at several parts of a result works it out once.
+    """
     resources()
     step = _STAGES[name]
 
@@ -73,7 +76,7 @@ def policy(name: str):
         empty = {"text": None, "edits": None, "warnings": None, "protected": None, "policy_version": None}
         return pd.DataFrame([empty if t is None else step(t) for t in text], columns=list(empty))
 
-    return run
+    return run.asNondeterministic()
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -7,10 +7,12 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions.text import git_blob_sha1
+from lectern.sources.manifest import safe_path
 
 #: The columns that a capture must have.
 REQUIRED = ("bv_id", "oid", "rpid", "root_rpid", "parent_rpid", "ctime", "message")
@@ -25,8 +27,23 @@ class CaptureError(ValueError):
     """A capture that can't be trusted: nothing of it is used."""
 
 
+def differs(bytes_: Column, sha256: Column, git_blob_sha: Column, content: Column) -> Column:
+    """How a content differs from what a manifest says of it, or null."""
+    return (
+        F.when(F.octet_length(content) != bytes_, "size")
+        .when(F.sha2(content, 256) != sha256, "sha256")
+        .when(git_blob_sha1(content) != git_blob_sha, "git_blob")
+    )
+
+
+def bad_entry() -> Column:
+    """What is wrong with a manifest's entry by itself, or null."""
+    bad = (F.col("bytes") < 0) | ~F.col("sha256").rlike(r"\A[0-9a-f]{64}\z") | ~F.col("git_blob_sha").rlike(r"\A[0-9a-f]{40}\z")
+    return F.when(F.coalesce(~safe_path(F.col("path")) | F.col("path").contains(":"), F.lit(True)), "unsafe_path").when(F.coalesce(bad, F.lit(True)), "bad_entry")
+
+
 def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``path, problem`` for every file that differs from the manifest, by either hash or size.
+    """``path, problem`` for every file that differs from the manifest, by either hash or size, and every entry that is none.
 
     ``files`` has ``path, content``; ``manifest`` has ``path, bytes, sha256,
     git_blob_sha``.  The content stays in the same frame, so it is read once.
@@ -34,7 +51,8 @@ def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
     own = files.select("path", F.octet_length("content").alias("n"), F.sha2("content", 256).alias("h"), git_blob_sha1(F.col("content")).alias("g"))
     both = manifest.join(own, "path", "full")
     problem = (
-        F.when(F.col("bytes").isNull(), "unlisted")
+        F.when(F.col("bytes").isNull() & F.col("sha256").isNull() & F.col("n").isNotNull(), "unlisted")
+        .when(bad_entry().isNotNull(), bad_entry())
         .when(F.col("n").isNull(), "missing")
         .when(F.col("n") != F.col("bytes"), "size")
         .when(F.col("h") != F.col("sha256"), "sha256")
@@ -44,6 +62,37 @@ def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem is not null").unionByName(twice)
 
 
+def capture_of(path: Column) -> Column:
+    """A capture is a folder of files: the first part of their paths."""
+    return F.lower(F.substring_index(path, "/", 1))
+
+
+def trusted(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``path, content`` of the data files of captures that their manifest binds in full.
+
+    One problem anywhere in a capture keeps all of it out: what is parsed depends
+    on the verification of every file, as an aggregate by capture.  The bytes are
+    looked at again in the row that is parsed, so a file that changes between the
+    two reads stops the job and is never parsed.  A manifest may have a ``role``;
+    files of the role evidence are verified and not returned.
+    """
+    bad = verify(files, manifest).select(capture_of(F.col("path")).alias("_capture")).distinct()
+    listed = manifest.select("path", "bytes", "sha256", "git_blob_sha", F.col("role") if "role" in manifest.columns else F.lit("data").alias("role"))
+    bound = files.select("path", "content").join(listed, "path").where("role = 'data'").withColumn("_capture", capture_of(F.col("path")))
+    now = differs(F.col("bytes"), F.col("sha256"), F.col("git_blob_sha"), F.col("content"))
+    changed = F.raise_error(F.concat(F.lit("capture changed while it was read: "), F.col("path"))).cast("binary")
+    content = F.when(now.isNull(), F.col("content")).otherwise(changed)
+    return bound.join(bad, "_capture", "left_anti").select("path", content.alias("content"))
+
+
+def require_trusted(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``path, content`` of data files; any problem of any file stops the job before a row is parsed."""
+    found = verify(files, manifest).agg(F.concat_ws(", ", F.count("*").cast("string"), F.min(F.concat_ws(":", "path", "problem"))).alias("m"), F.count("*").alias("n"))
+    said = found.where("n > 0").select("m").scalar()
+    checked = F.when(said.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("capture not verified: "), said)).cast("boolean"))
+    return trusted(files.where(checked), manifest)
+
+
 def parse_file(path: str, content: bytes) -> list[tuple]:
     """Rows of one file with record numbers (the header is 1) and physical lines."""
     try:
@@ -74,9 +123,46 @@ def scan(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_parse, PARSED)
 
 
+@F.udtf(returnType=PARSED)
+class ParseCapture:
+    """Rows of one file, for a lateral join in SQL."""
+
+    def eval(self, path: str, content: bytes):
+        yield from parse_file(path, bytes(content))
+
+
+def register(spark: SparkSession) -> None:
+    """``parse_capture(path, content)`` as a table function of SQL."""
+    spark.udtf.register("parse_capture", ParseCapture)
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """All rows of all files by the table function; the content stays behind."""
+    return files.lateralJoin(ParseCapture(F.col("path").outer(), F.col("content").outer()).toDF("file", *[p.split()[0] for p in PARSED.split(", ")[1:]])).drop(
+        "content", "file"
+    )
+
+
+def records(judged: DataFrame, source_id: str) -> DataFrame:
+    """Accepted rows as canonical records: identifiers joined, local time, where they stand, and flags of their text."""
+    text = F.col("message")
+    flags = F.array_compact(F.array(
+        F.when(text.rlike(r"[\r\n]"), "multiline_text"),
+        F.when(text != T.strip(text), "boundary_whitespace"),
+        F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_characters"),
+    ))
+    return judged.where(F.size("reasons") == 0).select(
+        F.concat_ws(":", F.lit(source_id), "bv_id", "rpid").alias("id"), text.alias("text"), F.col("bv_id").alias("video_id"), F.col("rpid").alias("comment_id"),
+        F.col("root_rpid").alias("root_id"), F.col("parent_rpid").alias("parent_id"), F.col("ts").alias("ctime"),
+        T.china_time(F.col("ts")).alias("comment_time"),
+        F.struct(F.lit(source_id).alias("source_id"), "path", "record_number", "line_start", "line_end").alias("source"), flags.alias("quality_flags"),
+    )
+
+
 def judge(rows: DataFrame, *, before: int) -> DataFrame:
     """``rows`` with every reason against each; a row without any is accepted."""
-    positive, natural, scientific = r"\A[1-9][0-9]*\z", r"\A(?:0|[1-9][0-9]*)\z", r"\A[0-9]+(?:\.[0-9]+)?[eE][+-]?[0-9]+\z"
+    positive, natural = r"\A[1-9][0-9]*\z", r"\A(?:0|[1-9][0-9]*)\z"
+    scientific = r"\A[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)[eE][+-]?[0-9]+\z"
     width = F.col("n_fields") != F.col("n_header")
 
     def identifier(name: str, pattern: str):
@@ -85,7 +171,7 @@ def judge(rows: DataFrame, *, before: int) -> DataFrame:
 
     stamp = F.when(F.col("ctime").rlike(natural), F.expr("try_cast(ctime as bigint)"))
     checks = [
-        F.when(~F.col("bv_id").rlike(r"\ABV[A-Za-z0-9]{10}\z"), "invalid_bv_id"),
+        F.when(~F.col("bv_id").rlike(r"\ABV[1-9A-HJ-NP-Za-km-z]{10}\z"), "invalid_bv_id"),
         *[identifier(c, positive if c in ("oid", "rpid") else natural) for c in ("oid", "rpid", "root_rpid", "parent_rpid")],
         F.when(stamp.isNull(), "invalid_timestamp"),
         F.when((stamp < EARLIEST) | (stamp >= before), "timestamp_out_of_range"),

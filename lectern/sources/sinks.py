@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -15,19 +16,42 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another in one step: readers see the old one or the new one, never none."""
+    jvm = spark._jvm
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = next(x for x in kind.getEnumConstants() if x.toString() == "OVERWRITE")
+    (old, _), (new, _) = _path(spark, source), _path(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(old), context.makeQualified(new), options)
+
+
 def publish_json(spark: SparkSession, path: str, document: dict) -> None:
-    """One small document, whole or not at all: written beside its place, then renamed into it."""
-    target, fs = _path(spark, path)
-    part, _ = _path(spark, f"{path}.part")
+    """One small document, whole or not at all: written beside its place, then renamed over it."""
+    folder, _, name = path.rpartition("/")
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    part, fs = _path(spark, own)
     body = json.dumps(document, ensure_ascii=False, sort_keys=True, allow_nan=False, indent=2) + "\n"
-    stream = fs.create(part, True)
+    stream = fs.create(part, False)
     try:
         stream.write(bytearray(body.encode()))
     finally:
         stream.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not publish {path}")
+    replace(spark, own, path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One small document, strictly: a repeated key is an error."""
+    text = spark.read.text(path, wholetext=True).first()
+
+    def once(pairs: list) -> dict:
+        found = dict(pairs)
+        if len(found) != len(pairs):
+            raise ValueError(f"repeated key in {path}")
+        return found
+
+    return json.loads(text["value"], object_pairs_hook=once)
 
 
 def require_new(spark: SparkSession, output: str, sources: list[str]) -> None:
