@@ -18,28 +18,53 @@ from lectern.storage import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told.
+
+    A null, empty or letterless text has none and goes; a very long text is
+    judged whole; rows that repeat, also without id, are judged alike by their
+    text, so they stay or go together; an empty table gives no rows.
+    """
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one of the largest doc_id."""
+    """One document of each group of equal texts, the one of the largest doc_id.
+
+    A null text equals an empty one; a null doc_id is smaller than any; of rows
+    that are equal in doc_id and text one stays; an empty table gives no rows.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id."""
+    """One document of each group of near copies, the one of the smallest doc_id.
+
+    A text without words is near nothing and stays; rows without id are judged
+    as rows of their text; an empty table gives no rows.
+    """
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to the nearest whole time."""
+    """Documents as often as the mix takes them, to the nearest whole time.
+
+    A null source is a source, the last one; a text without words has no size
+    and is not taken; an empty table gives no rows.
+    """
     return repeat_by_mix(docs)
 
 
+#: Bytes of text of which the ids are returned together.
+ENCODE_BLOCK_BYTES = 8_000_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of what they decode to."""
-    return encode_with_public_ranks(docs)
+    """``doc_id, n_tokens, ids, decoded_sha256``: token ids (little-endian, 32 bits each) and the digest of what they decode to.
+
+    A null or empty text has no ids; a document that the mix repeats is encoded
+    as often; a null doc_id stays null; an empty table gives no rows.
+    """
+    return encode_with_public_ranks(docs, "ids", ENCODE_BLOCK_BYTES)
 
 
 STAGES = [

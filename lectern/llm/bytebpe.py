@@ -52,10 +52,10 @@ def _token_bytes(data: bytes) -> dict[int, bytes]:
     return {rank: word for word, rank in _ranks(data).items()}
 
 
-def _pretokens(pattern: str, n_shards: int):
+def _pretokens(pattern: str, n_shards: int, block_bytes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = regex.compile(pattern).findall
-        for block, ids, has, texts in B.cut(frames, BLOCK_BYTES):
+        for block, ids, has, texts in B.cut(frames, block_bytes):
             seen, counts, flat = B.Places(), [], [np.empty(0, "<u4")]
             for t in texts:
                 words = find(t.decode("utf-8", "replace"))
@@ -98,8 +98,13 @@ def _encode(data: bytes, pattern: str):
     return lambda group: B.tidied_group(run, group)
 
 
-def _assemble(data: bytes, whole: bool):
-    """Documents put together; ``whole`` returns ids and bytes, else only their digests leave the worker."""
+#: What leaves the worker of a document: ids and the bytes they decode to, ids and the digest of the bytes, or digests alone.
+OUTPUTS = {"whole": "ids binary, decoded binary", "ids": "ids binary, decoded_sha256 string", "digests": "ids_sha256 string, decoded_sha256 string"}
+
+
+def _assemble(data: bytes, output: str):
+    """Documents put together."""
+    keeps_ids, keeps_bytes = output != "digests", output == "whole"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
@@ -118,9 +123,9 @@ def _assemble(data: bytes, whole: bool):
             low += n
             tokens = b"".join([words[p] for p in own])
             decoded = b"".join([text_of[p] for p in own])
-            made = (tokens, decoded) if whole else (_sha256(tokens), _sha256(decoded))
+            made = (tokens if keeps_ids else _sha256(tokens), decoded if keeps_bytes else _sha256(decoded))
             rows.append((int(ids[k]) if has[k] else None, len(tokens) // 4, *made))
-        names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
+        names = [part.split()[0] for part in OUTPUTS[output].split(", ")]
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", *names]).astype({"doc_id": "Int64"})
 
     return lambda left, right: B.tidied_group(run, left, right)
@@ -130,20 +135,20 @@ def _sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, whole: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``: ids as little-endian unsigned 32-bit integers, and their bytes.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, output: str = "whole", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, n_tokens`` and an entry of :data:`OUTPUTS`: ids as little-endian unsigned 32-bit integers, and their bytes.
 
-    Without ``whole``, ``ids_sha256`` and ``decoded_sha256`` in their place.
+    A block's documents come back together, so ``block_bytes`` bounds what a worker returns at once.
 
     The rank file (under a megabyte) is read on the driver and sent with the tasks.
     """
     data = Path(ranks_path).read_bytes()
     n_shards = B.shard_count(docs)
     # Documents stay where they are written; only words and their ids travel.
-    n_buckets = min(B.MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // BLOCK_BYTES))
+    n_buckets = min(B.MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // block_bytes))
     split = materialize(
         B.raw(docs).mapInPandas(
-            _pretokens(pattern, n_shards),
+            _pretokens(pattern, n_shards, block_bytes),
             "kind string, shard long, block long, ids binary, lens binary, body binary",
         ),
         "bpe",
@@ -159,16 +164,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, whole: b
         kept.groupBy("block")
         .cogroup(encoded.groupBy("block"))
         .applyInPandas(
-            _assemble(data, whole),
-            "doc_id long, n_tokens long, " + ("ids binary, decoded binary" if whole else "ids_sha256 string, decoded_sha256 string"),
+            _assemble(data, output),
+            f"doc_id long, n_tokens long, {OUTPUTS[output]}",
         )
     )
 
 
-def encode_with_public_ranks(docs: DataFrame) -> DataFrame:
+def encode_with_public_ranks(docs: DataFrame, output: str = "digests", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, whole=False)
+    return encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, output=output, block_bytes=block_bytes)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
