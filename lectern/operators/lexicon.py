@@ -43,13 +43,13 @@ def rewrite_metrics(rows: DataFrame, by: str) -> DataFrame:
 
 
 def ambiguity(tokens: DataFrame) -> DataFrame:
-    """``key, n_labels, n_contexts, errors``: errors of the best lexicon without context."""
-    # One shuffle by key, context and label; what follows is over its few sums.  Counts of contexts add up over labels
-    # only where a context has one label, so both are counted from the finer sums.
-    fine = tokens.groupBy("key", "context", "label").agg(F.count("*").alias("n"))
-    shared = fine.groupBy("key", "context").agg(F.collect_list(F.struct("label", "n")).alias("seen"))
-    labels = shared.select("key", F.posexplode("seen").alias("at", "x")).groupBy("key", "x.label")
-    counts = labels.agg(F.sum("x.n").alias("n"), F.count_if(F.col("at") == 0).alias("contexts"))
-    return counts.groupBy("key").agg(
-        F.count("*").alias("n_labels"), F.sum("contexts").alias("n_contexts"), (F.sum("n") - F.max("n")).alias("errors")
+    """``key, n_labels, varied, errors``: whether a key has more than one context, and errors of the best lexicon without any.
+
+    Contexts differ where their least and greatest do, so they are never
+    counted one by one; what follows the first sums is over distinct keys and
+    labels.
+    """
+    fine = tokens.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+    return fine.groupBy("key").agg(
+        F.count("*").alias("n_labels"), (F.min("low") < F.max("high")).alias("varied"), (F.sum("n") - F.max("n")).alias("errors")
     )

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from lectern.functions.text import strip, surface, surface_each
 
 
+def _digest(text: Column) -> Column:
+    """A text as 16 bytes."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def score_systems(cases: DataFrame, predictions: DataFrame, systems: tuple[str, ...]) -> DataFrame:
     """One row a case and system, with or without a prediction.
 
@@ -15,21 +20,22 @@ def score_systems(cases: DataFrame, predictions: DataFrame, systems: tuple[str,
     system, prediction, status.  A case without a prediction is ``missing``; an
     empty prediction that claims to be ok is ``empty_or_invalid``; neither
     leaves the denominator.  Surface forms of a case are worked out once for all
-    systems, and only they meet the predictions'.
+    systems.  Both sides are digests before they meet, so no text is shuffled.
     """
-    own, refs = surface(F.col("text")), surface_each(F.col("refs"))
-    shaped = cases.select("id", "family", "track", own.alias("_t"), "refs", refs.alias("_refs"))
+    own, refs = surface(F.col("text")), F.transform(surface_each(F.col("refs")), _digest)
+    shaped = cases.select("id", "family", "track", _digest(own).alias("_t"), F.transform("refs", _digest).alias("refs"), refs.alias("_refs"))
     asked = shaped.select("*", F.explode(F.array(*map(F.lit, systems))).alias("system"))
     valid = F.coalesce(strip(F.col("prediction")) != "", F.lit(False))
     said = predictions.select(
         "id", "system", "status", valid.alias("output_valid"), F.when(valid, F.col("prediction")).otherwise("").alias("prediction")
     )
-    said = said.withColumn("_p", surface(F.col("prediction")))
+    said = said.withColumn("_p", _digest(surface(F.col("prediction")))).withColumn("prediction", _digest(F.col("prediction")))
+    nothing = _digest(F.lit(""))
     both = asked.join(said, ["id", "system"], "left").withColumns(
         {
             "output_valid": F.coalesce("output_valid", F.lit(False)),
-            "prediction": F.coalesce("prediction", F.lit("")),
-            "_p": F.coalesce("_p", F.lit("")),
+            "prediction": F.coalesce("prediction", nothing),
+            "_p": F.coalesce("_p", nothing),
             "status": F.coalesce("status", F.lit("missing")),
         }
     )

@@ -68,14 +68,15 @@ def ambiguity_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = _tokens(spark, d).select("key", "label", F.col("doc_id").alias("context"))
     per = L.ambiguity(rows)
     return per.agg(F.count("*").alias("keys"), F.count_if(F.expr("n_labels > 1")).alias("multilabel"),
-                   F.count_if(F.expr("n_labels > 1 and n_contexts > 1")).alias("contextual"), F.sum("errors").alias("least_errors"))
+                   F.count_if(F.expr("n_labels > 1 and varied")).alias("contextual"), F.sum("errors").alias("least_errors"))
 
 
 def variant_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Comma-separated forms and folded keys of every document's first line."""
-    line = F.regexp_extract("text", r"^[^\n]*", 0)
+    """Comma-separated forms and folded keys of every document."""
+    forms = F.array_join(F.array_sort(T.alternatives(F.col("text"))), "|")
     return table(spark, d, "documents").select(
-        "doc_id", F.array_join(F.array_sort(T.alternatives(line)), "|").alias("forms"), T.flex(line).alias("flexed"))
+        "doc_id", F.sha2(forms.cast("binary"), 256).alias("forms_sha256"), F.size(T.alternatives(F.col("text"))).cast("long").alias("n_forms"),
+        F.sha2(T.flex(F.col("text")).cast("binary"), 256).alias("flexed_sha256"))
 
 
 def split_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +123,16 @@ _METRICS = """SELECT is_nc, count(*) AS tokens, count(*) FILTER (hit) AS hits, c
   count(*) FILTER (predicted = gold) AS correct, count(*) FILTER (key = gold) AS correct_as_is,
   count(*) FILTER (predicted <> key AND predicted <> gold) AS rewritten_wrong, count(*) FILTER (key = gold AND predicted <> gold) AS introduced,
   count(*) FILTER (key <> gold AND predicted = gold) AS fixed FROM m GROUP BY is_nc"""
+_WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NORMAL = f"trim(regexp_replace(nfc_normalize(text), '{_WHITE}+', ' ', 'g'))"
+_PART = rf"trim(regexp_replace(regexp_replace(p, '\A(\p{{P}}|{_WHITE})+|(\p{{P}}|{_WHITE})+\z', '', 'g'), '{_WHITE}+', ' ', 'g'))"
 ORACLES = {
+    # Of what case folding does to more than single letters only this occurs: sharp s.
+    "variant_forms": rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS own FROM documents),
+p AS (SELECT doc_id, own, list_distinct(list_filter(list_transform(string_split(own, ','), lambda p: {_PART}), lambda p: p <> '')) AS parts FROM n),
+f AS (SELECT *, CASE WHEN regexp_matches(own, '\d,\d') OR len(parts) = 0 THEN [own] ELSE list_sort(parts) END AS forms FROM p)
+SELECT doc_id, sha256(array_to_string(forms, '|')) AS forms_sha256, CAST(len(forms) AS BIGINT) AS n_forms,
+  sha256(trim(regexp_replace(regexp_replace(replace(lower(own), 'ß', 'ss'), '\p{{P}}', '', 'g'), '{_WHITE}+', ' ', 'g'))) AS flexed_sha256 FROM f""",
     "majority_lexicon": f"""WITH {_TOKENS}, a AS (SELECT key, label, count(*) AS n FROM t WHERE train GROUP BY ALL)
 SELECT key, arg_min(label, (-n, label)) AS label, max(n) AS n, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_labels FROM a GROUP BY key""",
     "lookup_scores": f"""WITH {_TOKENS}

@@ -106,8 +106,8 @@ def surface_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_template(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of ASCII text with numbers."""
-    text = F.concat(F.lit("Item 12.5 of "), F.col("doc_id").cast("string"), F.lit(": "), F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    """Keys of every text with numbers before it."""
+    text = F.concat(F.lit("Item 12.5 of "), F.col("doc_id").cast("string"), F.lit(": "), F.col("text"))
     return table(spark, d, "documents").select("doc_id", T.numeric_template(text).alias("template"))
 
 
@@ -185,6 +185,6 @@ UNION ALL SELECT doc_id, 'duplicate' FROM labels WHERE toxic = 1""",
     "blind_order": """SELECT id, chr(CAST(64 + row_number() OVER (PARTITION BY id ORDER BY sha256('lectern-blind-1|' || id || '|' || system), system) AS INTEGER)) AS label, system
 FROM (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(['identity', 'upper', 'spaced']) AS system FROM documents)""",
     "surface_normalize": "SELECT doc_id, " + _sql_surface("'金额１２元，已 收。“A　B” ' || text || ' 、结 ‘ok’'") + " AS surface FROM documents",
-    "numeric_template": r"""SELECT doc_id, regexp_replace(regexp_replace(lower('Item 12.5 of ' || doc_id || ': ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g')),
-  '[\s\x0b\x1c-\x1f]+', '', 'g'), '[0-9]+(\.[0-9]+)*', '<number>', 'g') AS template FROM documents""",
+    "numeric_template": r"""SELECT doc_id, regexp_replace(regexp_replace(replace(lower('Item 12.5 of ' || doc_id || ': ' || nfc_normalize(text)), 'ß', 'ss'),
+  '[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g'), '[0-9]+(\.[0-9]+)*', '<number>', 'g') AS template FROM documents""",
 }
