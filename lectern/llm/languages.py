@@ -323,7 +323,8 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     The rows are counted first, so that a threshold on the hash leaves little
     more than the sample to be sorted, whatever the size of the table.
     """
-    turn = F.shiftrightunsigned(F.xxhash64(F.lit("crf"), "doc_id"), 1)
+    # By row, as ids may be null or repeat.
+    turn = F.shiftrightunsigned(F.xxhash64(F.lit("crf"), "doc_id", text_hash()), 1)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("lang", "text", turn.alias("turn"))
     share = min(1.0, (1.2 * SAMPLE_ROWS + 100) / max(1, known.select("lang").count()))
@@ -335,7 +336,7 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
         .select("lang", "turn", w.alias("w"))
         .where(F.size("w") > 0)
         .select("lang", "turn", F.slice("w", first, SAMPLE_WORDS).alias("w"))
-        .orderBy("turn", "lang")
+        .orderBy("turn", "lang", "w")
         .limit(SAMPLE_ROWS)
     )
     return [(r["lang"], r["w"]) for r in rows.collect()]

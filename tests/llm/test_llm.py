@@ -336,49 +336,86 @@ def test_bpe(docs):
         assert np.frombuffer(bytes(whole[r.doc_id].ids), "<u4").tolist() == known.encode_ordinary(r.text or "")
 
 
+def plain_log_prob(net, window, word, counts):
+    """A word's log-probability in a window (words, None beyond the ends), by the definition alone."""
+    h = blocks.WordHashes()
+    leaf_of = {w: int(pseudolm.leaves_of(h.array([w]))[0]) for w in counts}
+    totals = np.zeros(pseudolm.CLASSES * pseudolm.LEAVES)
+    for w, n in counts.items():
+        totals[leaf_of[w]] += n
+    x = net.bias.astype(float)
+    for k, w in enumerate(window):
+        x = x + net.embed[0 if w is None else int(pseudolm.rows_of(h.array([w]))[0])] * net.place[k]
+    x = np.tanh(x)
+    per = totals.reshape(pseudolm.CLASSES, pseudolm.LEAVES)
+    c, s = divmod(leaf_of[word], pseudolm.LEAVES)
+    above = per.sum(axis=1) * np.exp(net.upper.astype(float) @ x)
+    below = per[c] * np.exp(net.lower[c].astype(float) @ x)
+    return math.log(above[c] / above.sum()) + math.log(below[s] / below.sum()) + math.log(counts[word] / totals[leaf_of[word]])
+
+
 def test_pseudo_likelihood(spark, docs):
-    """Every word's log-probability worked out by itself, from the same network."""
+    """Every word's log-probability worked out by itself, from the same network; texts of any length."""
     got, rows = rows_of(pseudolm.score_documents(docs)), docs.collect()
     counts = Counter(w for r in rows for w in (r.text or "").encode().split())
-    total = counts.total()
-    net = pseudolm.train(pseudolm.sample(docs, len(rows)), max(pseudolm.LEAST_ROWS, total // 256))
-    row = lambda w: int(pseudolm.rows_of(blocks.WordHashes().array([w]), net.n_rows)[0])
-    noise = net.output[net.noise].astype(float)
+    net = pseudolm.train(pseudolm.sample(docs, len(rows)))
+    known = {}
     for r in rows:
         w = (r.text or "").encode().split()
         g = got[r.doc_id]
         assert g.n_words == len(w) and (g.score is None) == (not w)
-        if len(w) > 200:
-            continue
         want = 0.0
         for t, word in enumerate(w):
-            x = net.bias.astype(float)
-            for k, d in enumerate((-2, -1, 1, 2)):
-                x = x + net.embed[row(w[t + d]) if 0 <= t + d < len(w) else 0] * net.place[k]
-            h = np.tanh(x)
-            want += min(0.0, math.log(counts[word] / total) + h @ net.output[row(word)] - math.log(np.exp(noise @ h).mean()))
-        assert g.log_prob == pytest.approx(want, rel=1e-4, abs=1e-3)
+            window = tuple(w[t + d] if 0 <= t + d < len(w) else None for d in pseudolm.OFFSETS)
+            if len(w) > 500 and t % 97:  # a long text: words throughout it
+                continue
+            if (window, word) not in known:
+                known[window, word] = plain_log_prob(net, window, word, counts)
+            want += known[window, word]
+        if len(w) <= 500:
+            assert g.log_prob == pytest.approx(want, rel=1e-4, abs=1e-3)
+            assert g.log_prob <= 0
+        else:
+            assert g.log_prob / len(w) == pytest.approx(want / len(range(0, len(w), 97)), rel=0.2)
     again = rows_of(pseudolm.score_documents(docs.repartition(2)))
     assert all(abs(again[k].log_prob - r.log_prob) < 1e-4 * (1 + abs(r.log_prob)) for k, r in got.items())
 
 
+def test_pseudo_likelihoods_sum_to_one(docs):
+    """Over the whole vocabulary, in windows of words at random, also ones that the network has never seen."""
+    rows = docs.collect()
+    counts = Counter(w for r in rows for w in (r.text or "").encode().split())
+    net = pseudolm.train(pseudolm.sample(docs, len(rows)))
+    h, vocabulary = blocks.WordHashes(), sorted(counts)
+    leaves = pseudolm.leaves_of(h.array(vocabulary))
+    totals = np.bincount(leaves, [counts[w] for w in vocabulary], pseudolm.CLASSES * pseudolm.LEAVES)
+    share = np.log(np.array([counts[w] for w in vocabulary]) / totals[leaves])
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        around = np.repeat(rng.integers(pseudolm.ROWS, size=(1, 4)), len(vocabulary), axis=0)
+        assert np.exp(share + net.log_leaf(leaves, around, totals)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_pseudo_likelihood_reads_both_sides():
-    """A word that both neighbours call for gains more than one that they don't."""
+    """A word that both neighbours call for is likelier than one that they don't."""
     rng = np.random.default_rng(3)
     w = [f"w{k}".encode() for k in range(6)]
     stretches = []
     for _ in range(20000):
         a, b = rng.integers(3, size=2)
         stretches.append([w[a], w[3 + (a + b) % 3], w[b]])
-    net = pseudolm.train(stretches, 1 << 10)
-    rows = pseudolm.rows_of(blocks.WordHashes().array(w), net.n_rows)
+    net = pseudolm.train(stretches)
+    hashes = blocks.WordHashes().array(w)
+    rows, leaves = pseudolm.rows_of(hashes), pseudolm.leaves_of(hashes)
+    counts = np.bincount(leaves, minlength=pseudolm.CLASSES * pseudolm.LEAVES)
+    assert len(set(leaves.tolist())) == 6
     right = 0
     for a in range(3):
         for b in range(3):
-            around = np.array([[0, rows[a], rows[b], 0]] * 3)
-            right += int(net.gain(rows[3:], around).argmax() == (a + b) % 3)
-    around = np.array([[0, rows[0], rows[0], 0]] * 6)
-    assert right == 9 and net.gain(rows, around)[3:].max() > net.gain(rows, around)[:3].max()
+            around = np.array([[0, rows[a], rows[b], 0]] * 6)
+            p = np.exp(net.log_leaf(leaves, around, counts))
+            right += int(p.argmax() == 3 + (a + b) % 3 and p.max() > 0.8)
+    assert right == 9
 
 
 def test_exact_groups(docs):
