@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: tuple[str, ...] = ("sampling", "preparation", "scores", "reviews", "lexica", "policies", "spans", "splitting", "scans", "inventory", "validation", "models", "intake", "integrity", "suggestions")
+FAMILIES: tuple[str, ...] = ("sampling", "preparation", "scores", "reviews", "lexica", "policies", "spans", "splitting", "scans", "inventory", "validation", "models", "intake", "integrity", "suggestions", "archives")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
