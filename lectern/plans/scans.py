@@ -77,10 +77,25 @@ def outside_edits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.size(F.filter("spans", lambda s: s["end"] > 10)).cast("long").alias("outside"))
 
 
+def local_scores(spark: SparkSession, d: str) -> DataFrame:
+    """First words are targets and last words protected; answers rewrite the first, some the last, some nothing, some failed."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.regexp_extract("text", r"^\S+", 0).alias("first"), F.regexp_extract("text", r"\S+$", 0).alias("last"))
+    n, k = F.length("text"), F.pmod("item_id", F.lit(5))
+    middle = F.substring("text", F.length("first") + 1, n - F.length("first") - F.length("last"))
+    said = F.when(k == 3, F.col("text")).otherwise(F.concat(F.lit("中文"), middle, F.when(k == 2, "尾").otherwise(F.col("last"))))
+    targets = F.array(F.struct(F.lit(0).alias("start"), F.length("first").alias("end"), F.array(F.lit("no"), F.when(k == 1, "文").otherwise("中文")).alias("accepted")))
+    protected = F.array(F.struct((n - F.length("last")).alias("start"), n.alias("end"), F.col("last").alias("text")))
+    cases = rows.select(F.col("item_id").alias("id"), "text", targets.alias("targets"), protected.alias("protected"))
+    answers = rows.select(F.col("item_id").alias("id"), said.alias("prediction"), F.when(k == 4, "error").otherwise("ok").alias("status"))
+    found = O.local_scores(cases, answers.where("id > 0"))
+    return found.select("id", "status", F.col("targets")[0]["state"].alias("target"), F.col("protected")[0]["state"].alias("protected"), "source_kept",
+                        F.when(F.col("status") == "ok", F.size("outside")).otherwise(-1).cast("long").alias("outside"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_verify, capture_scan, prose_sentences, jsonl_round_trip, directory_totals, member_problems, local_alignment, outside_edits,
+        local_scores, capture_verify, capture_scan, prose_sentences, jsonl_round_trip, directory_totals, member_problems, local_alignment, outside_edits,
     )
 }
 
@@ -100,5 +115,10 @@ SELECT path, CASE WHEN regexp_matches(path, '^/|^[A-Za-z]:|\\|(^|/)\.{1,2}(/|$)|
   WHEN b > 4000 THEN 'too_large' END AS problem FROM m WHERE problem IS NOT NULL
 UNION ALL SELECT lower(path), 'repeated' FROM m GROUP BY 1 HAVING count(*) > 1""",
     "outside_edits": None,
+    "local_scores": """SELECT item_id AS id, CASE WHEN item_id <= 0 THEN 'missing' WHEN item_id % 5 = 4 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN item_id <= 0 OR item_id % 5 = 4 THEN 'failed' WHEN item_id % 5 IN (1, 3) THEN 'unmatched' ELSE 'matched' END AS target,
+  CASE WHEN item_id <= 0 OR item_id % 5 = 4 THEN 'failed' WHEN item_id % 5 = 2 THEN 'changed' ELSE 'preserved' END AS protected,
+  item_id > 0 AND item_id % 5 = 3 AS source_kept,
+  CAST(CASE WHEN item_id <= 0 OR item_id % 5 = 4 THEN -1 WHEN item_id % 5 = 2 THEN 1 ELSE 0 END AS BIGINT) AS outside FROM benchmark""",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}
