@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+
 
 def majority(pairs: DataFrame) -> DataFrame:
     """``key, label, n, total, n_labels``: the most frequent label; ties by the label.
@@ -53,3 +55,31 @@ def ambiguity(tokens: DataFrame) -> DataFrame:
     return fine.groupBy("key").agg(
         F.count("*").alias("n_labels"), (F.min("low") < F.max("high")).alias("varied"), (F.sum("n") - F.max("n")).alias("errors")
     )
+
+
+def same_variant(one: Column, other: Column) -> Column:
+    """Whether two annotations share one of their comma-separated forms."""
+    return F.arrays_overlap(T.alternatives(one), T.alternatives(other))
+
+
+def same_sound(one: Column, other: Column) -> Column:
+    """Whether two transcriptions share one of their comma-separated readings; a string match, nothing phonetic."""
+    readings = [F.transform(F.split(T.nfc(c), ","), T.collapse) for c in (one, other)]
+    return F.arrays_overlap(*readings)
+
+
+def match_counts(rows: DataFrame, by: str, same: tuple[str, Column]) -> DataFrame:
+    """Tokens, hits, exact matches and tolerant ones by a column; ``rows`` has ``gold, predicted``, null where there is no entry.
+
+    ``same`` is a name and a condition over both.  It is worked out once for
+    each pair of annotations, however many tokens have it.
+    """
+    pairs = rows.groupBy(by, "gold", "predicted").agg(F.count("*").alias("n"))
+    hit = F.col("predicted").isNotNull()
+    exact = F.coalesce(T.norm(F.col("gold")) == T.norm(F.col("predicted")), F.lit(False))
+    judged = pairs.withColumns({"_exact": exact, "_same": hit & F.coalesce(same[1], F.lit(False))})
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+    return judged.groupBy(by).agg(F.sum("n").alias("tokens"), total(hit).alias("hits"), total(F.col("_exact")).alias("exact"), total(F.col("_same")).alias(same[0]))

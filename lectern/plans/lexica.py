@@ -105,10 +105,19 @@ def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("enough", (F.col("groups") >= least) & (F.col("transform") > 0))
 
 
+def variant_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and tolerant matches of the lexicon by source, where some annotations name the word itself as another form."""
+    other = F.length("key") % 2 == 0
+    rows = _tokens(spark, d).withColumn("label", F.when(other, F.concat("label", F.lit(","), "key")).otherwise(F.col("label")))
+    known = L.majority(rows.where("train").select("key", "label")).select("key", F.col("label").alias("predicted"))
+    tested = rows.where("not train").select("source", "key", F.when(F.length("key") % 4 == 0, F.col("key")).otherwise(F.col("label")).alias("gold")).join(known, "key", "left")
+    return L.match_counts(tested, "source", ("tolerant", L.same_variant(F.col("gold"), F.col("predicted"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        majority_lexicon, lookup_scores, filtered_lookup, rewrite_harm, wrong_rewrites, ambiguity_counts, split_overlap, coverage_matrix,
+        variant_matches, majority_lexicon, lookup_scores, filtered_lookup, rewrite_harm, wrong_rewrites, ambiguity_counts, split_overlap, coverage_matrix,
     )
 } | {"variant_forms": variant_forms}
 
@@ -126,6 +135,7 @@ _METRICS = """SELECT is_nc, count(*) AS tokens, count(*) FILTER (hit) AS hits, c
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NORMAL = f"trim(regexp_replace(nfc_normalize(text), '{_WHITE}+', ' ', 'g'))"
 _PART = rf"trim(regexp_replace(regexp_replace(p, '\A(\p{{P}}|{_WHITE})+|(\p{{P}}|{_WHITE})+\z', '', 'g'), '{_WHITE}+', ' ', 'g'))"
+_FORMS = rf"CASE WHEN regexp_matches({{0}}, '\d,\d') OR len(list_filter(list_transform(string_split({{0}}, ','), lambda p: {_PART.replace('{', '{{').replace('}', '}}')}), lambda p: p <> '')) = 0 THEN [nfc_normalize({{0}})] ELSE list_filter(list_transform(string_split(nfc_normalize({{0}}), ','), lambda p: {_PART.replace('{', '{{').replace('}', '}}')}), lambda p: p <> '') END"
 ORACLES = {
     # Of what case folding does to more than single letters only this occurs: sharp s.
     "variant_forms": rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS own FROM documents),
@@ -133,6 +143,12 @@ p AS (SELECT doc_id, own, list_distinct(list_filter(list_transform(string_split(
 f AS (SELECT *, CASE WHEN regexp_matches(own, '\d,\d') OR len(parts) = 0 THEN [own] ELSE list_sort(parts) END AS forms FROM p)
 SELECT doc_id, sha256(array_to_string(forms, '|')) AS forms_sha256, CAST(len(forms) AS BIGINT) AS n_forms,
   sha256(trim(regexp_replace(regexp_replace(replace(lower(own), 'ß', 'ss'), '\p{{P}}', '', 'g'), '{_WHITE}+', ' ', 'g'))) AS flexed_sha256 FROM f""",
+    "variant_matches": rf"""WITH {_TOKENS}, y AS (SELECT source, key, train, CASE WHEN length(key) % 2 = 0 THEN label || ',' || key ELSE label END AS label FROM t),
+u AS (SELECT key, label, count(*) AS n FROM y WHERE train GROUP BY ALL), z AS (SELECT key, arg_min(label, (-n, label)) AS predicted FROM u GROUP BY key),
+g AS (SELECT source, CASE WHEN length(y.key) % 4 = 0 THEN y.key ELSE label END AS gold, predicted FROM y LEFT JOIN z ON z.key = y.key WHERE NOT train),
+q AS (SELECT gold, predicted, source, {_FORMS.format("gold")} AS a, {_FORMS.format("predicted")} AS b FROM g)
+SELECT source, count(*) AS tokens, count(predicted) AS hits, count(*) FILTER (nfc_normalize(gold) = nfc_normalize(predicted)) AS exact,
+  count(*) FILTER (predicted IS NOT NULL AND list_has_any(a, b)) AS tolerant FROM q GROUP BY source""",
     "majority_lexicon": f"""WITH {_TOKENS}, a AS (SELECT key, label, count(*) AS n FROM t WHERE train GROUP BY ALL)
 SELECT key, arg_min(label, (-n, label)) AS label, max(n) AS n, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_labels FROM a GROUP BY key""",
     "lookup_scores": f"""WITH {_TOKENS}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import validation as V
-from lectern.storage import table
+from lectern.operators.splits import linked_groups
+from lectern.storage import materialize, table
 
 _ORIGIN = {"origin": "original", "license": "Apache-2.0"}
 
@@ -80,6 +81,17 @@ def sample_coverage(spark: SparkSession, d: str) -> DataFrame:
     return V.coverage_problems(_samples(spark, d).where(F.col("proposed_role").isin(*V.ROLES)))
 
 
+def merged_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage by what declared groups turn out to be: rows whose texts are equal but for numbers are one group."""
+    rows = materialize(_samples(spark, d).where(F.col("proposed_role").isin(*V.ROLES)), "samples")
+    template = F.sha2(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\s+", ""), r"[0-9]+(\.[0-9]+)*", "<number>").cast("binary"), 256)
+    keyed = rows.select(F.monotonically_increasing_id().alias("id"), "skill_id", "group_id", "proposed_role", "operation", template.alias("template"))
+    keyed = materialize(keyed, "keyed-samples")
+    parts = linked_groups(keyed.select("id", "group_id", "template"), ["group_id", "template"]).select("id", "component")
+    found = V.coverage_problems(keyed.join(parts, "id"), group="component")
+    return found.groupBy("kind", "skill_id", "role").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+
+
 def training_validation(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a registered training set, whose validation side has some ids again."""
     side = F.when(_every(9, 0), "validation").otherwise("train")
@@ -127,7 +139,7 @@ def alternative_groups(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        case_validation, reference_coverage, annotation_validation, sample_validation, sample_coverage, training_validation,
+        case_validation, reference_coverage, annotation_validation, sample_validation, sample_coverage, merged_coverage, training_validation,
         run_identity, run_integrity, squeezed_text, masked_signature, alternative_groups,
     )
 }
@@ -161,6 +173,17 @@ SELECT 'group_cross_role' AS kind, NULL AS skill_id, group_id, NULL AS role, 2 A
 UNION ALL SELECT 'missing_operation', skill_id, NULL, NULL, count(*) FROM v GROUP BY skill_id HAVING count(DISTINCT quality = 1) < 2
 UNION ALL SELECT 'insufficient_groups', skill_id, NULL, role, n FROM r WHERE n < CASE role WHEN 'train' THEN 2 ELSE 1 END
 UNION ALL SELECT 'missing_transform', skill_id, NULL, role, n FROM r WHERE t = 0""",
+    "merged_coverage": rf"""WITH RECURSIVE {_SAMPLES}, v AS (SELECT *, regexp_replace(regexp_replace(lower(text), '[\s\x0b]+', '', 'g'), '[0-9]+(\.[0-9]+)*', '<number>', 'g') AS tpl FROM s WHERE role <> 'test'),
+e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM v a JOIN v b ON (a.group_id = b.group_id OR a.tpl = b.tpl) AND a.doc_id <> b.doc_id),
+w AS (SELECT doc_id AS n, doc_id AS m FROM v UNION SELECT w.n, e.b FROM w JOIN e ON w.m = e.a),
+c AS (SELECT v.*, component FROM v JOIN (SELECT n, min(m) AS component FROM w GROUP BY n) ON n = doc_id),
+r AS (SELECT k.skill_id, k.role, count(DISTINCT c.component) AS n, count(*) FILTER (c.quality = 1) AS t
+  FROM (SELECT DISTINCT skill_id, unnest(['train', 'validation']) AS role FROM c) k LEFT JOIN c ON c.skill_id = k.skill_id AND c.role = k.role GROUP BY ALL),
+f AS (SELECT 'group_cross_role' AS kind, NULL AS skill_id, NULL AS role, 2 AS n FROM c GROUP BY component HAVING count(DISTINCT role) > 1
+UNION ALL SELECT 'missing_operation', skill_id, NULL, count(*) FROM c GROUP BY skill_id HAVING count(DISTINCT quality = 1) < 2
+UNION ALL SELECT 'insufficient_groups', skill_id, role, n FROM r WHERE n < CASE role WHEN 'train' THEN 2 ELSE 1 END
+UNION ALL SELECT 'missing_transform', skill_id, role, n FROM r WHERE t = 0)
+SELECT kind, skill_id, role, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL""",
     "training_validation": rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'validation' ELSE 'train' END AS role, coalesce(text, '') AS text,
   CAST(doc_id - CASE WHEN doc_id % 9 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS id, CAST(doc_id // 6 AS VARCHAR) AS g FROM documents),
 k AS (SELECT *, sha256({_SQUEEZED}) AS source FROM t),
