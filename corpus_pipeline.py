@@ -39,8 +39,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id.
 
-    A text without words is near nothing and stays; rows without id are judged
-    as rows of their text; an empty table gives no rows.
+    A text without words is near nothing and stays, and so do rows without id;
+    rows that share the smallest id of a group stay, each once; an empty table
+    gives no rows.
     """
     return drop_near_copies(docs)
 
