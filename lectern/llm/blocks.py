@@ -184,19 +184,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_POWERS: list[np.ndarray] = []
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, 1 << 16)
-        up = np.full(size, _BASE, dtype=np.uint64)
-        down = np.full(size, _INVERSE, dtype=np.uint64)
+        up = np.full(size, base, dtype=np.uint64)
+        down = np.full(size, pow(base, -1, 2**64), dtype=np.uint64)
         up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[base][0][:n], _POWERS[base][1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -205,12 +204,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
     """Hashes of all k consecutive words, by differences of one running polynomial."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    up, down = _powers(len(hashes))
+    up, down = _powers(len(hashes), base)
     run = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * up, out=run[1:], dtype=np.uint64)
     return mix((run[k:] - run[:-k]) * down[:n])

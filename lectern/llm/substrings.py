@@ -11,6 +11,11 @@ places that continue each other in one reference document as a factor.  Every
 window that crosses a factor boundary has its own answer, so what factors
 cover is exactly what the windows cover.
 
+Windows are the same where two hashes of 64 bits agree, each rolled with a base
+of its own over hashes of words of its own.  Words are not compared again: of n
+distinct windows, two are taken for one with a chance of about n * n / 2^129,
+1e-14 at a trillion windows.
+
 Cases: a null or empty text has no words and keeps the empty string; texts
 shorter than a window keep all words; null ids come before all others; rows
 that repeat a doc_id tie where they start alike, and of such neither is
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import blocks as B
@@ -35,7 +41,17 @@ GRAM = 8
 _ANCHOR = np.uint64((1 << 48) - 1)
 _NULL_ID = np.iinfo(np.int64).min
 
-_hashes = B.WordHashes()
+class _Hashes(B.WordHashes):
+    """The second hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, seed=0x5DEECE66D)
+        return h
+
+
+_hashes, _others = B.WordHashes(), _Hashes()
 
 
 class _Block:
@@ -54,7 +70,9 @@ class _Block:
         #: Where a window starts in the block.
         self.at = self.starts[self.owner] + self.pos
         self.doc = np.where(has, ids, _NULL_ID)[self.owner]
-        self.windows = B.rolling(self.hashes, WINDOW)[self.at] if len(self.at) else np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
+        self.windows = B.rolling(self.hashes, WINDOW)[self.at] if len(self.at) else none
+        self.checks = B.rolling(_others.array(flat), WINDOW, B.OTHER_BASE)[self.at] if len(self.at) else none
 
     def anchors(self) -> np.ndarray:
         """For each window, the smallest hash of its GRAM-word runs."""
@@ -71,15 +89,24 @@ class _Block:
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the block's first place of the same words; and whether it is a later one."""
-        order = np.lexsort((self.pos, self.doc, self.windows))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = self.windows[order][1:] != self.windows[order][:-1]
+        order = np.lexsort((self.pos, self.doc, self.checks, self.windows))
+        new = _changes(order, self.windows, self.checks)
         first = np.empty(len(order), dtype=np.int64)
         first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
         later = (self.doc != self.doc[first]) | (self.pos != self.pos[first])
         return first, later
 
 
+def _changes(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where, in an order, some key isn't what it was before."""
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+    return new
+
+
 def _index(n_shards: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, ids, has, texts in B.cut(frames):
@@ -105,7 +132,7 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 
 def _lookups(n_shards: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "block", "keys", "docs", "pos", "at"]
+        columns = ["shard", "block", "keys", "checks", "docs", "pos", "at"]
         if not len(right):
             return pd.DataFrame(columns=columns)
         row = left.iloc[0]
@@ -117,7 +144,7 @@ def _lookups(n_shards: int):
         for shard, part in B.by_shard(keys, n_shards):
             w = ask[part]
             rows.append(
-                (shard, row["block"], B.pack_sorted(keys[part]), B.pack(own.doc[w]),
+                (shard, row["block"], B.pack_sorted(keys[part]), B.pack(own.checks[w]), B.pack(own.doc[w]),
                  B.pack(own.pos[w].astype("<i8")), B.pack(w.astype("<i8")))
             )
         return pd.DataFrame(rows, columns=columns)
@@ -129,11 +156,10 @@ def _answers(group: pd.DataFrame) -> pd.DataFrame:
     """For each block, its windows that start earlier elsewhere, and where they start first."""
     keys = [B.unpack_sorted(b) for b in group["keys"]]
     sizes = [len(k) for k in keys]
-    key = np.concatenate(keys)
+    key, check = np.concatenate(keys), np.concatenate([B.unpack(b, "<u8") for b in group["checks"]])
     doc, pos, at = (np.concatenate([B.unpack(b, "<i8") for b in group[c]]) for c in ("docs", "pos", "at"))
-    order = np.lexsort((pos, doc, key))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    order = np.lexsort((pos, doc, check, key))
+    new = _changes(order, key, check)
     first = np.empty(len(order), dtype=np.int64)
     first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = (doc != doc[first]) | (pos != pos[first])
@@ -210,7 +236,7 @@ def factor_documents(docs: DataFrame) -> DataFrame:
     sent = indexed.where("kind = 'anchors'").select("shard", "block", "body")
     shared = sent.groupBy("shard").applyInPandas(_shared, "block long, hits binary")
     asked = bodies.cogroup(shared.groupBy("block")).applyInPandas(
-        _lookups(n_shards), "shard long, block long, keys binary, docs binary, pos binary, at binary"
+        _lookups(n_shards), "shard long, block long, keys binary, checks binary, docs binary, pos binary, at binary"
     )
     told = asked.groupBy("shard").applyInPandas(_answers, "block long, at binary, docs binary, pos binary")
     return bodies.cogroup(told.groupBy("block")).applyInPandas(_parse, _PARSED)
