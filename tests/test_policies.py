@@ -128,3 +128,50 @@ def test_edits_rebuild_the_text(text):
         assert out["text"] == draft.text
         assert draft.undone().text == text
         assert all(0 <= s["start"] < s["end"] <= len(out["text"]) for s in out["protected"])
+
+
+def _tables(**wrong):
+    from dataclasses import replace
+
+    from lectern.operators.policies import tables as t
+    from lectern.operators.policies.reading import Entry, Lexicon
+
+    entries = {
+        "kind": Entry("abc", "odd"), "name": Entry("a1", "word"), "parts": Entry("AbCd", "compound", parts=(("Ab", True), ("Ce", False))), "clash": Entry("up", "initialism"),
+    }
+    changes = {
+        "lexicon": lambda k: {"lexicon": Lexicon((*t.LEXICON.entries, entries[k]))},
+        "slang": lambda v: {"contexts": replace(t.CONTEXTS, slang=(*t.CONTEXTS.slang, v))},
+        "codes": lambda v: {"contexts": replace(t.CONTEXTS, codes=t.CONTEXTS.codes | v)},
+        "contexts": lambda v: {"contexts": replace(t.CONTEXTS, **v)},
+        "platform": lambda v: {"emotes": replace(t.EMOTES, platform=t.EMOTES.platform | {v})},
+        "pictures": lambda v: {"emotes": replace(t.EMOTES, pictures=t.EMOTES.pictures | {v})},
+        "names": lambda v: {"names": t.NAMES | v},
+    }
+    ((what, value),) = wrong.items()
+    return replace(t.resources(), **changes[what](value))
+
+
+@pytest.mark.parametrize(("wrong", "problem"), [
+    ({"lexicon": "kind"}, "kind:abc"), ({"lexicon": "name"}, "name:a1"), ({"lexicon": "parts"}, "parts:AbCd"), ({"lexicon": "clash"}, "clash:up"),
+    ({"slang": ("x y", False, "z")}, "slang:x y"), ({"slang": ("xy", False, "")}, "slang:xy"), ({"slang": ("U1S1", False, "z")}, "clash:u1s1"),
+    ({"codes": {"9a": "z"}}, "code:9a"), ({"codes": {"77": ""}}, "code:77"), ({"contexts": {"window": 0}}, "window"), ({"contexts": {"window": 129}}, "window"),
+    ({"contexts": {"projects": ()}}, "terms"), ({"platform": "a]"}, "platform:a]"), ({"platform": ""}, "platform:"), ({"pictures": ""}, "empty_sequence"),
+    ({"names": {"🍎": "apple"}}, "spoken:🍎"), ({"names": {"🍎🍎": "苹果"}}, "picture:🍎🍎"), ({"names": {"a b": "苹果"}}, "picture:a b"),
+])
+def test_faulty_tables_are_refused(wrong, problem):
+    from lectern.operators.policies.tables import resources
+
+    assert resources().problems() == []
+    assert problem in _tables(**wrong).problems()
+
+
+def test_no_row_is_read_with_faulty_tables(monkeypatch):
+    from lectern.operators.policies import columns, tables
+
+    monkeypatch.setattr(tables, "NAMES", {"🍎": "apple"})
+    tables.resources.cache_clear()
+    with pytest.raises(ValueError, match="spoken"):
+        columns.policy("semantic")
+    monkeypatch.undo()
+    tables.resources.cache_clear()
