@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import near as N
+from lectern.operators import seeds as D
 from lectern.operators import splits as S
 from lectern.operators import trainlog as L
 from lectern.storage import materialize, table
@@ -62,6 +63,21 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("left", "kind").agg(F.count("*").alias("n"), F.min("right").alias("first"), F.min("similarity").alias("least"))
 
 
+def seed_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phrases of parts as draft samples, as a historical set (some in capitals) and as held-out inputs, by the parts' sizes."""
+    size, text = F.col("p_size"), F.concat_ws(" ", "p_name", "p_brand")
+    said = F.when((size > 20) & (F.col("p_type") == "ECONOMY"), F.upper(text)).otherwise(text)
+    role = F.when(F.col("p_type").isin("STANDARD", "PROMO"), "validation").otherwise("train")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), said.alias("text"), role.alias("role"), F.col("p_type").alias("grp"), size.alias("size"))
+    rows = materialize(rows.withColumns({"key": T.normalized_key(F.col("text")), "template": T.numeric_template(F.col("text"))}), "seed-rows")
+    return rows.where("size <= 20"), rows.where("size between 21 and 40"), rows.where("size > 40")
+
+
+def seed_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What the samples repeat among themselves, of the historical set and of the held-out inputs."""
+    return D.findings(*seed_tables(spark, d))
+
+
 def heldout_leakage(spark: SparkSession, d: str) -> DataFrame:
     return S.contained(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
@@ -121,7 +137,7 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        template_components, fixed_role_violations, near_phrase_pairs, near_part_phrases, phrase_matches, heldout_leakage, grouped_split, seed_audit,
+        template_components, fixed_role_violations, near_phrase_pairs, near_part_phrases, phrase_matches, seed_findings, heldout_leakage, grouped_split, seed_audit,
         micro_batches, weighted_loss, best_checkpoint, lr_schedule,
     )
 }
