@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -62,17 +63,24 @@ class _Block:
         self.words = [t.split() for t in texts]  # bytes.split() splits at ASCII white space alone
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = [w for words in self.words for w in words]
-        self.hashes = _hashes.array(flat)
+        self.hashes = _hashes.array(self._flat())
         per = np.maximum(self.sizes - WINDOW + 1, 0)
         self.owner = np.repeat(np.arange(len(ids)), per)
         self.pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         #: Where a window starts in the block.
         self.at = self.starts[self.owner] + self.pos
         self.doc = np.where(has, ids, _NULL_ID)[self.owner]
-        none = np.empty(0, np.uint64)
-        self.windows = B.rolling(self.hashes, WINDOW)[self.at] if len(self.at) else none
-        self.checks = B.rolling(_others.array(flat), WINDOW, B.OTHER_BASE)[self.at] if len(self.at) else none
+
+    def _flat(self) -> list[bytes]:
+        return [w for words in self.words for w in words]
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        return B.rolling(self.hashes, WINDOW)[self.at] if len(self.at) else np.empty(0, np.uint64)
+
+    @cached_property
+    def checks(self) -> np.ndarray:
+        return B.rolling(_others.array(self._flat()), WINDOW, B.OTHER_BASE)[self.at] if len(self.at) else np.empty(0, np.uint64)
 
     def anchors(self) -> np.ndarray:
         """For each window, the smallest hash of its GRAM-word runs."""
@@ -87,9 +95,20 @@ class _Block:
             low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
         return B.mix(low[self.at]) & _ANCHOR
 
+    def _by_words(self) -> np.ndarray:
+        """Windows in order of both hashes, then of their places."""
+        # Places are in order where no id repeats, and then one stable sort does unless windows differ that agree in one hash.
+        docs = np.where(self.has, self.ids, _NULL_ID)
+        order = np.argsort(self.windows, kind="stable")
+        if (np.diff(docs) > 0).all():
+            w, c = self.windows[order], self.checks[order]
+            if not ((w[1:] == w[:-1]) & (c[1:] != c[:-1])).any():
+                return order
+        return np.lexsort((self.pos, self.doc, self.checks, self.windows))
+
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the block's first place of the same words; and whether it is a later one."""
-        order = np.lexsort((self.pos, self.doc, self.checks, self.windows))
+        order = self._by_words()
         new = _changes(order, self.windows, self.checks)
         first = np.empty(len(order), dtype=np.int64)
         first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
