@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -42,17 +42,8 @@ GRAM = 8
 _ANCHOR = np.uint64((1 << 48) - 1)
 _NULL_ID = np.iinfo(np.int64).min
 
-class _Hashes(B.WordHashes):
-    """The second hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, seed=0x5DEECE66D)
-        return h
-
-
-_hashes, _others = B.WordHashes(), _Hashes()
+#: Two unlike hashes of a word.
+_HASHES = (xxhash.xxh3_64_intdigest, partial(xxhash.xxh64_intdigest, seed=0x5DEECE66D))
 
 
 class _Block:
@@ -63,7 +54,12 @@ class _Block:
         self.words = [t.split() for t in texts]  # bytes.split() splits at ASCII white space alone
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.hashes = _hashes.array(self._flat())
+        seen = B.Places()
+        flat = [w for words in self.words for w in words]
+        #: Words as places in the list of distinct ones, which alone are hashed.
+        self.place = np.fromiter(map(seen.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.distinct = list(seen)
+        self.hashes = self._hashed(0)
         per = np.maximum(self.sizes - WINDOW + 1, 0)
         self.owner = np.repeat(np.arange(len(ids)), per)
         self.pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
@@ -71,8 +67,8 @@ class _Block:
         self.at = self.starts[self.owner] + self.pos
         self.doc = np.where(has, ids, _NULL_ID)[self.owner]
 
-    def _flat(self) -> list[bytes]:
-        return [w for words in self.words for w in words]
+    def _hashed(self, which: int) -> np.ndarray:
+        return np.fromiter(map(_HASHES[which], self.distinct), dtype=np.uint64, count=len(self.distinct))[self.place]
 
     @cached_property
     def windows(self) -> np.ndarray:
@@ -80,7 +76,7 @@ class _Block:
 
     @cached_property
     def checks(self) -> np.ndarray:
-        return B.rolling(_others.array(self._flat()), WINDOW, B.OTHER_BASE)[self.at] if len(self.at) else np.empty(0, np.uint64)
+        return B.rolling(self._hashed(1), WINDOW, B.OTHER_BASE)[self.at] if len(self.at) else np.empty(0, np.uint64)
 
     def anchors(self) -> np.ndarray:
         """For each window, the smallest hash of its GRAM-word runs."""
