@@ -114,7 +114,13 @@ SELECT path, CASE WHEN regexp_matches(path, '^/|^[A-Za-z]:|\\|(^|/)\.{1,2}(/|$)|
   WHEN list_contains(string_split(lower(path), '/'), 'de') THEN 'forbidden_part' WHEN lower(path) LIKE '%.html' THEN 'forbidden_suffix'
   WHEN b > 4000 THEN 'too_large' END AS problem FROM m WHERE problem IS NOT NULL
 UNION ALL SELECT lower(path), 'repeated' FROM m GROUP BY 1 HAVING count(*) > 1""",
-    "outside_edits": None,
+    # Lower case changes runs of capitals alone; those that end beyond the tenth character are outside.
+    "outside_edits": r"""WITH c AS (SELECT item_id, string_split(text, '') AS c FROM benchmark),
+e AS (SELECT item_id, unnest(list_filter(range(1, len(c) + 1), lambda k: lower(c[k]) <> c[k] AND (k = len(c) OR lower(c[k + 1]) = c[k + 1]))) AS last FROM c)
+SELECT b.item_id, count(e.last) FILTER (e.last > 10) AS outside FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id GROUP BY 1""",
+    "local_alignment": r"""WITH w AS (SELECT item_id AS id, regexp_extract(text, '^\S+', 0) AS word FROM benchmark),
+s AS (SELECT *, CASE WHEN id % 3 = 0 THEN upper(word) ELSE word END AS seen FROM w)
+SELECT id, CASE WHEN seen = upper(word) THEN 'matched' ELSE 'unmatched' END AS state, seen FROM s""",
     "local_scores": """SELECT item_id AS id, CASE WHEN item_id <= 0 THEN 'missing' WHEN item_id % 5 = 4 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN item_id <= 0 OR item_id % 5 = 4 THEN 'failed' WHEN item_id % 5 IN (1, 3) THEN 'unmatched' ELSE 'matched' END AS target,
   CASE WHEN item_id <= 0 OR item_id % 5 = 4 THEN 'failed' WHEN item_id % 5 = 2 THEN 'changed' ELSE 'preserved' END AS protected,
