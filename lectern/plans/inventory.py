@@ -59,6 +59,9 @@ def review_saves(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (key_inventory, canonical_json, epoch_order, china_dates, occurrence_check, review_saves)}
 ORACLES = {
+    # The events' objects are flat.
+    "canonical_json": r"""SELECT CAST(event_id AS VARCHAR) AS id, sha256('{' || array_to_string(list_transform(list_sort(json_keys(props)),
+  lambda k: '"' || k || '": ' || CAST(json_extract(props, '$.' || k) AS VARCHAR)), ', ') || '}' || chr(10)) AS sha256 FROM events""",
     "key_inventory": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
     "epoch_order": """SELECT user_id, epoch, event_id, row_number() OVER (PARTITION BY user_id, epoch ORDER BY sha256('lectern-epoch|' || epoch || '|' || event_id), event_id) AS place
 FROM (SELECT user_id, event_id, unnest([1, 2, 3]) AS epoch FROM events)""",
