@@ -1,10 +1,16 @@
-"""The policies as Arrow functions: text in, a struct of text, edits, warnings and spans out."""
+"""The policies as Arrow functions: text in, a struct of text, edits, warnings and spans out.
+
+A batch that Spark sends is worked off in pieces of a few texts, and a piece is handed back before the next one is
+looked at, so that a worker's memory grows with :data:`PIECE_BYTES` or the longest text, not with rows or batches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -63,6 +69,30 @@ _STAGES |= {
 POLICIES = tuple(_STAGES)
 
 
+#: Bytes of texts in a piece; one longer text is a piece of its own.
+PIECE_BYTES = 128 * 1024
+
+_ARROW_SPAN = [("start", pa.int32()), ("end", pa.int32())]
+_ARROW = pa.struct([
+    ("text", pa.string()), ("edits", pa.list_(pa.struct(_ARROW_SPAN + [(x, pa.string()) for x in ("original", "replacement", "reason")]))),
+    ("warnings", pa.list_(pa.string())), ("protected", pa.list_(pa.struct(_ARROW_SPAN))), ("policy_version", pa.string()),
+])
+_EMPTY = dict.fromkeys(f.name for f in RESULT.fields)
+
+
+def pieces(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[tuple[list, ...]]:
+    """The rows of every batch in order, a few at a time: columns of Python values."""
+    for own in batches:
+        start = size = 0
+        lengths = zip(*(pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in own), strict=True)
+        for k, n in enumerate(map(sum, lengths)):
+            if k > start and size + n > PIECE_BYTES:
+                yield tuple(c.slice(start, k - start).to_pylist() for c in own)
+                start, size = k, 0
+            size += n
+        yield tuple(c.slice(start).to_pylist() for c in own)
+
+
 def policy(name: str):
     """The policy ``name`` as a column function; the tables are checked before any row is read.
 
@@ -71,20 +101,55 @@ def policy(name: str):
     resources()
     step = _STAGES[name]
 
-    @F.pandas_udf(RESULT)
-    def run(text: pd.Series) -> pd.DataFrame:
-        empty = {"text": None, "edits": None, "warnings": None, "protected": None, "policy_version": None}
-        return pd.DataFrame([empty if t is None else step(t) for t in text], columns=list(empty))
+    @F.arrow_udf(RESULT)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (texts,) in pieces((b,) for b in batches):
+            yield pa.array([_EMPTY if t is None else step(t) for t in texts], _ARROW)
+
+    return run.asNondeterministic()
+
+
+def policies(stages: dict[str, str]):
+    """Policies one after the other, each over what the one before it wrote, as one column function.
+
+    ``stages`` maps names to policies; the result is a struct of theirs by name.  All of them run in one worker: as
+    functions of each other's columns each would have a worker of its own, and each of those a queue of whole rows.
+    """
+    resources()
+    steps = {name: _STAGES[own] for name, own in stages.items()}
+    kind = pa.struct([(name, _ARROW) for name in steps])
+
+    def each(text: str | None) -> dict:
+        found = {}
+        for name, step in steps.items():
+            found[name] = _EMPTY if text is None else step(text)
+            text = found[name]["text"]
+        return found
+
+    @F.arrow_udf(StructType([StructField(name, RESULT) for name in steps]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (texts,) in pieces((b,) for b in batches):
+            yield pa.array([each(t) for t in texts], kind)
 
     return run.asNondeterministic()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def guard_reasons(text: pd.Series, raw: pd.Series, prediction: pd.Series) -> pd.Series:
+def of_texts(kind, arrow: pa.DataType, step: Callable):
+    """A function of several texts as a column function, by pieces."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for own in pieces(batches):
+            yield pa.array([step(*row) for row in zip(*own, strict=True)], arrow)
+
+    return run
+
+
+def guard_reasons(text: Column | str, raw: Column | str, prediction: Column | str) -> Column:
     """Why a model's edits of a text can't be taken; empty where they can."""
-    return pd.Series([guard.reasons(t, r, p, identifiers(t)) for t, r, p in zip(text, raw, prediction, strict=True)])
+    why = of_texts(ArrayType(StringType()), pa.list_(pa.string()), lambda t, r, p: guard.reasons(t, r, p, identifiers(t)))
+    return why(text, raw, prediction)
 
 
-@F.pandas_udf(StringType())
-def replay_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
-    return pd.Series([guard.replay(t, x) for t, x in zip(text, lines, strict=True)])
+def replay_lines(text: Column | str, lines: Column | str) -> Column:
+    return of_texts(StringType(), pa.string(), guard.replay)(text, lines)
