@@ -100,9 +100,11 @@ def composed_edits(spark: SparkSession, d: str) -> DataFrame:
 
 def chain_edits(spark: SparkSession, d: str) -> DataFrame:
     """Comment, semantic, reading and context policies over every document, as edits and protection of one text."""
+    names = {"comment": "comment_v2", "semantic": "semantic", "reading": "reading", "context": "context_v3"}
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), _templated().alias("text"))
-    stages = {"comment": P.policy("comment_v2"), "semantic": P.policy("semantic"), "reading": P.policy("reading"), "context": P.policy("context_v3")}
-    found = C.run_stages(docs, stages)
+    # One worker runs all policies; each stage is still proved against the text that the one before it wrote.
+    worked = docs.select("id", "text", P.policies(names)(F.col("text")).alias("own"))
+    found = C.run_stages(worked, {name: lambda _, name=name: F.col("own")[name] for name in names})
     return found.select("id", _sha(F.col("final")).alias("text_sha256"), F.size("edits").cast("long").alias("n_edits"), F.size("protected").cast("long").alias("n_protected"),
                         (C.S.replay(F.col("text"), F.col("edits")) == F.col("final")).alias("replays"), "problem")
 

@@ -38,3 +38,10 @@ def test_policies_in_one_function_are_those_one_by_one(spark):
             want = P._STAGES[own](text) if text is not None else dict.fromkeys(P.RESULT.fieldNames())
             assert r.r[name].asDict(recursive=True) == want
             text = want["text"]
+
+
+def test_chain_of_policies_has_one_worker(spark):
+    from lectern.plans import models
+
+    plan = models.chain_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
