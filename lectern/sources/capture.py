@@ -62,6 +62,10 @@ def verify(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem")).where("problem is not null").unionByName(twice)
 
 
+#: Bytes of files whose rows are handed back at a time; one longer file is by itself.
+PIECE_BYTES = 512 * 1024
+
+
 def capture_of(path: Column) -> Column:
     """A capture is a folder of files: the first part of their paths."""
     return F.lower(F.substring_index(path, "/", 1))
@@ -114,7 +118,14 @@ def parse_file(path: str, content: bytes) -> list[tuple]:
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["path", "record_number", "line_start", "line_end", "n_fields", "n_header", *REQUIRED]
     for frame in frames:
-        rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) for r in parse_file(p, bytes(c))]
+        rows, size = [], 0
+        for p, c in zip(frame["path"], frame["content"], strict=True):
+            # Rows are handed back by a few files, so that a worker's memory doesn't grow with the batch.
+            if rows and size + len(c) > PIECE_BYTES:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+            rows += parse_file(p, bytes(c))
+            size += len(c)
         yield pd.DataFrame(rows, columns=names)
 
 

@@ -45,3 +45,24 @@ def test_chain_of_policies_has_one_worker(spark):
 
     plan = models.chain_edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_prose_and_captures_are_handed_back_in_pieces(spark, monkeypatch):
+    """Rows of a batch come by a few, all of them and in order."""
+    import pandas as pd
+
+    from lectern.sources import capture, prose
+
+    head = ",".join(capture.REQUIRED)
+    body = ",".join("1" for _ in capture.REQUIRED)
+    files = pd.DataFrame({"path": [f"p{k}" for k in range(9)], "content": [f"{head}\n{body}\n".encode()] * 9})
+    whole = pd.concat(capture._parse(iter([files])), ignore_index=True)
+    monkeypatch.setattr(capture, "PIECE_BYTES", 3 * len(files["content"][0]))
+    parts = list(capture._parse(iter([files])))
+    assert [len(p) for p in parts] == [3, 3, 3] and pd.concat(parts, ignore_index=True).equals(whole)
+
+    monkeypatch.setattr(prose, "PIECE_ROWS", 4)
+    docs = spark.createDataFrame([(k, None if k == 3 else "This is a sentence. " * k) for k in range(12)], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.start) for r in prose.prose_sentences(docs, ends=".", least_han=0).collect())
+    want = [(k, x[3]) for k in range(12) if k != 3 for x in prose.extract("This is a sentence. " * k, ends=".", least_han=0)]
+    assert got == sorted(want) and len(got) > 50
