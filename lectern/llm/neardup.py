@@ -11,8 +11,10 @@ The first round takes FIRST_TREES trees and links most copies.  From then on
 only mixed regions count, those of a common prefix whose nodes are of several
 components: one aggregation over all trees finds them, and no other row of the
 forest is ever written.  In them every node is compared with the nearest
-neighbours of *other* components, until a round links nothing new.  These rounds
-only save work, so where a batch or a partition ends makes no difference: last,
+neighbours of *other* components, and of the pairs between the same two components
+the most alike one goes on, so a round's pairs grow with the components that meet,
+not with their rows; it ends when a round frees few rows.  These rounds only save
+work, so where a batch or a partition ends makes no difference: last,
 every mixed region is exhausted where it lies, so no neighbour hides another: all
 its pairs of different components are compared by size, sketch and MinHash
 values, the sets of those that pass are brought to the region, and only links
@@ -66,6 +68,8 @@ LEAST_AGREEMENT = int(FUNCTIONS * 0.628)
 NEIGHBOURS = 2
 #: Rounds of neighbours at most, before all mixed regions are exhausted.
 MOST_ROUNDS = 8
+#: Another round follows only where the last one left at most this share of the mixed regions' rows.
+FREED_SHARE = 0.9
 #: Rows of a region that are compared in one group; a larger one is dealt into chunks of half as many.
 REGION_ROWS = 4096
 #: Shingles of the sets that meet in one group, which bounds its memory (8 bytes each).
@@ -190,7 +194,7 @@ def _carry(frame: pd.DataFrame, apart: bool) -> int:
 
 
 def near_pairs(frame: pd.DataFrame, apart: bool) -> pd.DataFrame:
-    """Candidates among sorted rows: the next one, or NEIGHBOURS ones of the next other components."""
+    """Candidates among sorted rows: the next one, or NEIGHBOURS ones of the next other components; one for each two components."""
     m = len(frame)
     if m < 2:
         return pd.DataFrame({"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
@@ -224,9 +228,13 @@ def near_pairs(frame: pd.DataFrame, apart: bool) -> pd.DataFrame:
     ok = (comp[i] != comp[j]) & (fresh[i] | fresh[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
     i, j = i[ok], j[ok]
     sketch = np.frombuffer(b"".join(frame["sketch"]), dtype="u1").reshape(m, -1)
-    ok = _ALIKE[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int64) >= LEAST_AGREEMENT
-    i, j = i[ok], j[ok]
-    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
+    alike = _ALIKE[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int64)
+    ok = alike >= LEAST_AGREEMENT
+    i, j, alike = i[ok], j[ok], alike[ok]
+    # One link joins two components, so one pair of theirs goes on.
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    met = pd.DataFrame({"a": a, "b": b, "x": np.minimum(comp[i], comp[j]), "y": np.maximum(comp[i], comp[j]), "alike": -alike})
+    return met.sort_values(["alike", "a", "b"]).drop_duplicates(["x", "y"])[["a", "b"]]
 
 
 def _by_group(of_group):
@@ -522,8 +530,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
     forest = materialize(forest, "forest")
     release(placed, mixed)
+    n_rows = forest.count()
     for _ in range(MOST_ROUNDS):
-        n_rows = forest.count()
         if not n_rows:
             break
         # Pairs that were compared before can't link now.
@@ -532,9 +540,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
         more = confirmed(docs, nodes, pairs)
         if more.isEmpty():
             break
+        before = n_rows
         parts, forest = _after(parts, more, forest)
+        n_rows = forest.count()
+        if n_rows > FREED_SHARE * before:
+            break
     # What neighbours have not shown: every other pair of a mixed region.
-    if n_rows := forest.count():
+    if n_rows:
         more = exhausted(docs, nodes, forest, n_rows)
         if not more.isEmpty():
             parts = materialize(joined_parts(parts, more), "forest-parts")

@@ -305,6 +305,16 @@ def template_family(pairs=200, shared=160, seed=3):
     return texts
 
 
+@pytest.mark.parametrize("m", [60, 600])
+def test_near_candidates_grow_with_components_not_with_rows(m):
+    comp = np.arange(m) % 3
+    frame = neardup.pd.DataFrame({"tree": 0, "sign": [b"\0" * 2 * neardup.DEPTH] * m, "node": np.arange(m), "sketch": [b"\0" * (neardup.FUNCTIONS // 4)] * m,
+                                  "n": 100, "comp": comp, "fresh": True})
+    pairs = neardup.near_pairs(frame, True)
+    assert {tuple(sorted((comp[a], comp[b]))) for a, b in zip(pairs["a"], pairs["b"], strict=True)} == {(0, 1), (0, 2), (1, 2)}
+    assert len(pairs) == 3
+
+
 @pytest.mark.parametrize("region_rows", [4096, 32])
 def test_near_copies_in_a_template_family(spark, monkeypatch, region_rows):
     """Rows of the same region that fail the filters don't take the place of those that link; also in chunks."""
