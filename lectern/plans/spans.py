@@ -10,26 +10,23 @@ from lectern.storage import table
 
 
 def _words(text: Column) -> Column:
-    """Starts and lengths of the space-separated pieces of a text, by a running length."""
-    pieces = F.split(text, " ")
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p) + 1).alias("at"), F.concat(s["found"], F.array(S.span(s["at"], s["at"] + F.length(p)))).alias("found")
-        ),
-        lambda s: s["found"],
-    )
+    """Starts and lengths of the space-separated pieces of a text, and whether they have a capital in front."""
+
+    def step(before: Column, p: Column) -> Column:
+        at = F.coalesce(before["end"] + 1, F.lit(0))
+        return F.struct(at.alias("start"), (at + F.length(p)).alias("end"), p.rlike("^[A-Z]").alias("capital"))
+
+    return S.scan(F.split(text, " "), step, "struct<start:int,end:int,capital:boolean>")
 
 
 def _line_words(spark: SparkSession, d: str) -> DataFrame:
-    """Every line of every document with the spans of its words."""
+    """Every line of every document with the spans of its words, and of the capitalised ones."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return lines.select("doc_id", "line", "text", _words(F.col("text")).alias("spans"))
 
 
-def _upper(text: Column, s: Column) -> Column:
-    return F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("^[A-Z]")
+def _capitals() -> Column:
+    return F.transform(F.filter("spans", lambda s: s["capital"]), lambda s: S.span(s["start"], s["end"]))
 
 
 def span_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -42,24 +39,22 @@ def span_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Does a capitalised word stand within a line's first twenty characters, or its last ten?"""
-    rows = _line_words(spark, d).withColumn("caps", F.filter("spans", lambda s: _upper(F.col("text"), s)))
+    rows = _line_words(spark, d).withColumn("caps", _capitals())
     n = F.length("text")
     return rows.select("doc_id", "line", S.overlaps(F.lit(0), F.least(n, F.lit(20)), F.col("caps")).alias("early"),
                        S.overlaps(n - 10, n, F.col("caps")).alias("late"))
 
 
-def _edits(rows: DataFrame) -> Column:
+def _edits() -> Column:
     """Capitalised words become their length in brackets."""
-    text = F.col("text")
-    caps = F.filter("spans", lambda s: _upper(text, s))
-    return F.transform(caps, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+    return F.transform(_capitals(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                  F.concat(F.lit("<"), (s["end"] - s["start"]).cast("string"), F.lit(">")).alias("replacement")))
 
 
 def edit_replay(spark: SparkSession, d: str) -> DataFrame:
     """Lines after their edits, and back again by the inverse ones."""
     rows = _line_words(spark, d)
-    rows = rows.withColumn("edits", _edits(rows)).withColumn("edited", S.replay(F.col("text"), F.col("edits")))
+    rows = rows.withColumn("edits", _edits()).withColumn("edited", S.replay(F.col("text"), F.col("edits")))
     back = S.replay(F.col("edited"), S.inverse(F.col("text"), F.col("edits")))
     return rows.select("doc_id", "line", "edited", F.size("edits").cast("long").alias("n_edits"), (back == F.col("text")).alias("restored"))
 
@@ -67,15 +62,15 @@ def edit_replay(spark: SparkSession, d: str) -> DataFrame:
 def span_remap(spark: SparkSession, d: str) -> DataFrame:
     """Where the other words stand after the edits."""
     rows = _line_words(spark, d)
-    rows = rows.withColumn("edits", _edits(rows))
-    other = F.filter("spans", lambda s: ~_upper(F.col("text"), s) & (s["end"] > s["start"]))
+    rows = rows.withColumn("edits", _edits())
+    other = F.transform(F.filter("spans", lambda s: ~s["capital"] & (s["end"] > s["start"])), lambda s: S.span(s["start"], s["end"]))
     moved = S.remap(other, F.col("edits"))
     return rows.select("doc_id", "line", F.explode(moved).alias("s")).select("doc_id", "line", "s.start", "s.end")
 
 
 def span_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = _line_words(spark, d)
-    caps = F.filter("spans", lambda s: _upper(F.col("text"), s))
+    caps = _capitals()
     return rows.select("doc_id", "line", S.mask(F.col("text"), caps).alias("masked"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,30 @@ def test_resource_readers(spark, tmp_path):
     assert [tuple(r) for r in resources.cldr_names(spark, f"{tmp_path}/a.xml").collect()] == [("🔨", "锤子")]
     nested = spark.read.json(spark.sparkContext.parallelize(['{"data":{"packages":[{"emote":[{"text":"[doge]"},{"text":"plain"}]}]}}']))
     assert [r["name"] for r in resources.platform_emotes(nested).collect()] == ["doge"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_lists_of_spans_and_edits(spark, seed):
+    """Lists beyond a chunk of a scan, against plain Python and against each span held against all edits."""
+    rng = random.Random(seed)
+    text, at, spans, edits = "", 0, [], []
+    for _ in range(300):
+        word = "w" * rng.randint(1, 9)
+        own = (at, at + len(word))
+        if rng.random() < 0.4:
+            edits.append((*own, "x" * rng.randint(1, 12)))
+        if rng.random() < 0.7:
+            spans.append((own[0] - 1, own[1] + 1) if rng.random() < 0.2 and at and seed else own)
+        text, at = text + word + " " * 3, at + len(word) + 3
+    out = text
+    for a, b, r in reversed(edits):
+        out = out[:a] + r + out[b:]
+    kinds = "t string, s array<struct<start:int,end:int>>, e array<struct<start:int,end:int,replacement:string>>"
+    cases = [(text, spans, edits), (text, [(a + 1, b + 2) for a, b in spans], edits), (text, spans, [(a, b, "") for a, b, _ in edits]), ("", [], []), (None, None, None)]
+    df = spark.createDataFrame(cases, kinds)
+    got = df.select("t", "s", "e", S.replay(F.col("t"), F.col("e")).alias("r"), S.remap(F.col("s"), F.col("e")).alias("m"), S._remap_each(F.col("s"), F.col("e")).alias("all"),
+                    S.replay(S.replay(F.col("t"), F.col("e")), S.inverse(F.col("t"), F.col("e"))).alias("back"), S.scan(F.col("s"), lambda b, x: F.struct(F.coalesce(b["k"], F.lit(0)) + x["end"]), "struct<k:int>").alias("sums"))
+    rows = {i: r for i, r in enumerate(got.collect())}
+    assert all(r.m == r["all"] and r.back == r.t for r in rows.values())
+    assert rows[0].r == out and rows[0].m is not None and rows[1].m is None and rows[2].m is None
+    assert [x.k for x in rows[0].sums] == list(accumulate(b for _, b in spans))
