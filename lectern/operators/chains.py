@@ -35,7 +35,7 @@ def stage_problem(source: Column, stage: Column) -> Column:
     walked = F.aggregate(
         edits,
         F.lit(0),
-        lambda at, e: F.when((at >= 0) & (at <= e["start"]) & (e["start"] < e["end"]) & (e["end"] <= F.length(source)), e["end"]).otherwise(-1),
+        lambda at, e: F.when((at >= 0) & (at <= e["start"]) & (e["start"] < e["end"]), e["end"]).otherwise(-1),
     )
     differs = F.exists(edits, lambda e: ~_slice(source, e["start"], e["end"]).eqNullSafe(e["original"]) | e["replacement"].isNull())
     return (
@@ -43,7 +43,7 @@ def stage_problem(source: Column, stage: Column) -> Column:
         .when(stage["text"].isNull(), "no_text")
         .when(edits.isNull() | stage["warnings"].isNull(), "no_lists")
         .when(F.coalesce(stage["policy_version"], F.lit("")) == "", "no_version")
-        .when(F.coalesce(walked, F.lit(-1)) < 0, "bad_coordinates")
+        .when(~S.let(F.coalesce(walked, F.lit(-1)), lambda at: at.between(0, F.length(source))), "bad_coordinates")
         .when(differs, "original_differs")
         .when(~S.replay(source, edits).eqNullSafe(stage["text"]), "replay_differs")
     )
@@ -115,20 +115,18 @@ def rule(pattern: str, replacement: str, reason: str, version: str):
         )
         kind = EDITS.replace("replacement:string", "replacement:string,reason:string")
 
-        def add(acc: Column, m: Column) -> Column:
-            start = acc["at"] + F.length(m["before"])
-            end = start + F.length(m["own"])
-            edit = F.struct(start.alias("start"), end.alias("end"), m["own"].alias("original"), F.lit(replacement).alias("replacement"), F.lit(reason).alias("reason"))
-            return F.struct(end.alias("at"), F.concat(acc["edits"], F.array(edit)).alias("edits"))
+        def add(before: Column, m: Column) -> Column:
+            start = F.coalesce(before["end"], F.lit(0)) + F.length(m["before"])
+            return F.struct(start, start + F.length(m["own"]), m["own"], F.lit(replacement), F.lit(reason))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("edits"))
-        edits = F.aggregate(found, none, add, lambda acc: acc["edits"])
+        edits = S.scan(found, add, kind.removeprefix("array<").removesuffix(">"))
         return F.struct(
             F.regexp_replace(text, pattern, re.sub(r"([\\$])", r"\\\1", replacement)).alias("text"), edits.alias("edits"),
             F.array().cast("array<string>").alias("warnings"), F.array().cast(S.SPANS).alias("protected"), F.lit(version).alias("policy_version"),
         )
 
-    return step
+    # Bound to a name, so that a plan which looks at several parts of a result works it out once.
+    return lambda text: S.let(text, step)
 
 
 def run_stages(rows: DataFrame, stages: dict, *, keep_written: tuple[str, ...] = ()) -> DataFrame:
