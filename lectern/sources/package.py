@@ -52,7 +52,8 @@ def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], abou
     folder = f"{target}/versions/{version}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-    _files(spark, folder, list(tables)).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{MANIFEST}")
+    # One file of entries; the tables themselves are read by as many tasks as they need.
+    _files(spark, folder, list(tables)).repartition(1).write.mode("errorifexists").parquet(f"{folder}/{MANIFEST}")
     current = {"version": version, "about": about, "tables": sorted(tables), "manifest": _bound(spark, folder)}
     sinks.publish_json(spark, f"{target}/{CURRENT}", current)
     return version
