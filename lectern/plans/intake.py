@@ -17,15 +17,17 @@ def _captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Files in a folder for each language, and a manifest that is wrong about one file of every folder but the English one."""
     own = _files(spark, d)
     files = own.select(F.concat_ws("/", F.coalesce("lang", F.lit("none")), "path").alias("path"), "content", F.col("path").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    sha, blob = F.sha2("content", 256), T.git_blob_sha1(F.col("content"))
+    bound = files.select("path", "doc_id", "lang", F.octet_length("content").cast("long").alias("bytes"), sha.alias("sha"), blob.alias("blob"))
+    # A row a language; no content is dealt out by language, of which there are few.
     first = files.groupBy("lang").agg(F.min("doc_id").alias("first"))
-    marked = files.join(first, "lang").withColumn("bad", F.col("doc_id") == F.col("first"))
+    marked = bound.join(F.broadcast(first), "lang").withColumn("bad", F.col("doc_id") == F.col("first"))
 
     def wrong(lang: str, other: Column, right: Column) -> Column:
         return F.when(F.col("bad") & (F.col("lang") == lang), other).otherwise(right)
 
-    sha, blob = F.sha2("content", 256), T.git_blob_sha1(F.col("content"))
-    listed = marked.select("path", F.octet_length("content").cast("long").alias("bytes"), wrong("fr", F.sha2(F.lit("other"), 256), sha).alias("sha256"),
-                           wrong("de", F.sha1(F.lit("other")), wrong("es", F.upper(blob), blob)).alias("git_blob_sha"))
+    listed = marked.select("path", "bytes", wrong("fr", F.sha2(F.lit("other"), 256), F.col("sha")).alias("sha256"),
+                           wrong("de", F.sha1(F.lit("other")), wrong("es", F.upper("blob"), F.col("blob"))).alias("git_blob_sha"))
     return files.select("path", "content"), listed
 
 

@@ -82,11 +82,13 @@ def trusted(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     bad = verify(files, manifest).select(capture_of(F.col("path")).alias("_capture")).distinct()
     listed = manifest.select("path", "bytes", "sha256", "git_blob_sha", F.col("role") if "role" in manifest.columns else F.lit("data").alias("role"))
-    bound = files.select("path", "content").join(listed, "path").where("role = 'data'").withColumn("_capture", capture_of(F.col("path")))
+    # Captures are few and large: they are kept out among the entries, and contents are dealt out by path alone.
+    kept = listed.where("role = 'data'").withColumn("_capture", capture_of(F.col("path"))).join(bad, "_capture", "left_anti").drop("_capture")
+    bound = files.select("path", "content").join(kept, "path")
     now = differs(F.col("bytes"), F.col("sha256"), F.col("git_blob_sha"), F.col("content"))
     changed = F.raise_error(F.concat(F.lit("capture changed while it was read: "), F.col("path"))).cast("binary")
     content = F.when(now.isNull(), F.col("content")).otherwise(changed)
-    return bound.join(bad, "_capture", "left_anti").select("path", content.alias("content"))
+    return bound.select("path", content.alias("content"))
 
 
 def require_trusted(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.plans import intake
 from lectern.sources import capture, package, sinks
 
 HEADER = "bv_id,oid,rpid,root_rpid,parent_rpid,ctime,message\n"
@@ -156,3 +157,22 @@ def test_publishing_replaces_in_one_step(spark, tmp_path):
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     with pytest.raises(ValueError, match="repeated key"):
         sinks.read_json(spark, f"{tmp_path}/twice.json")
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+def test_no_content_is_dealt_out_by_capture_or_language(spark):
+    files, listed = intake._captures(spark, "/root/testdata/sf0.001")
+    for df, key in ((capture.trusted(files, listed), "_capture"), (listed, "lang")):
+        joins = [n for n in _nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and f"({key}#" in n.simpleString(1000)]
+        assert joins and not any("content" in n.output().mkString(",") for n in joins)
+
+
+def test_a_manifest_is_made_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda *_: pytest.fail("all files in one task"))
+    package.publish(spark, str(tmp_path / "p"), {"a": spark.range(40).repartition(4), "b": spark.range(0)}, {})
+    assert package.read(spark, str(tmp_path / "p"), "a")["a"].count() == 40
