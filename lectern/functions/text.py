@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+
+from lectern.functions.pieces import by_list, by_text
 
 #: White space as Unicode has it, with the four information separators.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
@@ -80,14 +80,8 @@ def git_blob_sha1(content: Column) -> Column:
     return F.sha1(F.concat(head, F.unhex(F.lit("00")), content))
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _nfc_each(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda ts: [t and unicodedata.normalize("NFC", t) for t in ts], na_action="ignore")
+_nfc = by_text(lambda t: unicodedata.normalize("NFC", t))
+_nfc_each = by_list(lambda t: unicodedata.normalize("NFC", t))
 
 
 def is_ascii(text: Column) -> Column:
@@ -103,20 +97,10 @@ def nfc_each(texts: Column) -> Column:
     return F.coalesce(_nfc_each(F.when(F.exists(texts, lambda t: ~is_ascii(t)), texts)), texts)
 
 
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(str.casefold, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def normalized_key(text: pd.Series) -> pd.Series:
-    """NFKC, case-folded, without any white space."""
-    return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _squeezed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: "".join(unicodedata.normalize("NFKC", t).split()).casefold(), na_action="ignore")
+casefold = by_text(lambda t: t.casefold())
+#: NFKC, case-folded, without any white space.
+normalized_key = by_text(lambda t: "".join(unicodedata.normalize("NFKC", t).casefold().split()))
+_squeezed = by_text(lambda t: "".join(unicodedata.normalize("NFKC", t).split()).casefold())
 
 
 def squeezed(text: Column) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from lectern.functions.pieces import pieces as in_pieces
 from lectern.operators.policies import audited, comment, context, guard, reading, semantic
 from lectern.operators.policies.literals import identifiers
 from lectern.operators.policies.tables import resources
@@ -82,15 +82,7 @@ _EMPTY = dict.fromkeys(f.name for f in RESULT.fields)
 
 def pieces(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[tuple[list, ...]]:
     """The rows of every batch in order, a few at a time: columns of Python values."""
-    for own in batches:
-        start = size = 0
-        lengths = zip(*(pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in own), strict=True)
-        for k, n in enumerate(map(sum, lengths)):
-            if k > start and size + n > PIECE_BYTES:
-                yield tuple(c.slice(start, k - start).to_pylist() for c in own)
-                start, size = k, 0
-            size += n
-        yield tuple(c.slice(start).to_pylist() for c in own)
+    return in_pieces(batches, PIECE_BYTES)
 
 
 def policy(name: str):

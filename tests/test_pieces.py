@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators.policies import columns as P
 
 
@@ -66,3 +67,18 @@ def test_prose_and_captures_are_handed_back_in_pieces(spark, monkeypatch):
     got = sorted((r.doc_id, r.start) for r in prose.prose_sentences(docs, ends=".", least_han=0).collect())
     want = [(k, x[3]) for k in range(12) if k != 3 for x in prose.extract("This is a sentence. " * k, ends=".", least_han=0)]
     assert got == sorted(want) and len(got) > 50
+
+
+@pytest.mark.parametrize("step", [T._nfc, T.casefold, T.normalized_key, T._squeezed])
+def test_text_functions_hand_texts_back_in_pieces(step):
+    texts = [None, *["\u0130" * 1000] * 500]
+    got = list(step.func(iter([pa.array(texts)])))
+    assert max(map(len, got)) < 100 and sum(map(len, got)) == 501
+    assert [x is None for g in got for x in g.to_pylist()] == [True] + [False] * 500
+
+
+def test_lists_of_texts_are_handed_back_in_pieces():
+    lists = [None, [], [None, "e\u0301"], *[["e\u0301" * 1000] * 10] * 50]
+    got = list(T._nfc_each.func(iter([pa.array(lists)])))
+    assert len(got) > 5
+    assert [x for g in got for x in g.to_pylist()] == [None, [], [None, "\u00e9"], *[["\u00e9" * 1000] * 10] * 50]
