@@ -33,12 +33,20 @@ MOST_BUCKETS = 100_000
 DOCS_SCHEMA = "block long, ids binary, lens binary, body binary"
 
 
-def shard_count(docs: DataFrame) -> int:
-    """Shards by the measured size of all texts; the optimizer's guess may be far off."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+def text_bytes(docs: DataFrame) -> int:
+    """The measured size of all texts; the optimizer's guess may be far off."""
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def shards_of(size: int) -> int:
     return max(LEAST_SHARDS, -(-size // SHARD_BYTES))
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards by the size of all texts."""
+    return shards_of(text_bytes(docs))
+
+
 def pack(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 

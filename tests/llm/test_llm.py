@@ -406,6 +406,41 @@ def test_pseudo_likelihoods_sum_to_one(docs):
         assert np.exp(share + net.log_leaf(leaves, around, totals)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_pseudo_likelihood_is_fitted_on_every_text(spark, monkeypatch):
+    """Words in pairs, of which the stretches that the fit starts from show three at most: it knows the other pairs too."""
+    monkeypatch.setattr(pseudolm, "SAMPLE_ROWS", 3)
+    monkeypatch.setattr(pseudolm, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(pseudolm, "BLOCK_BATCH", 256)
+    rows = [(k, " ".join([f"a{k % 40}", f"b{k % 40}"] * 60)) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [r.score for r in pseudolm.score_documents(docs).collect()]
+    assert len(scores) == 1200
+    # A word's share of the corpus alone has log(1 / 80), about -4.4.
+    assert sum(s > -2.2 for s in scores) > 1000, sorted(scores)[::100]
+
+
+def test_blocks_are_averaged_by_words(spark, docs):
+    """A round's network is the mean of what its blocks make, worked out by itself."""
+    made = pseudolm.sample(docs.where("length(text) < 2000"), 50)
+    net, sums = pseudolm._start(made.first, 5)
+    parts = []
+    for r in made.blocks.where("turn = 0").collect():
+        at = blocks.unpack_places(bytes(r["body"])).astype(np.int64)
+        parts.append(list(pseudolm._moved(net, sums, made.counts, blocks.unpack(bytes(r["hashes"]), "<u8"), at, np.frombuffer(bytes(r["lens"]), "<i8"))))
+    got = pseudolm._averaged(net, sums, made.blocks.where("turn = 0"), made.counts)
+    for name in pseudolm.TABLES:
+        total, weight = np.zeros(getattr(net, name).shape), np.zeros(len(getattr(net, name)))
+        for part in parts:
+            ((places, change, n),) = [x[1:] for x in part if x[0] == name]
+            for k, row in enumerate(np.arange(len(weight))[places]):
+                total[row] += change[k] * n[k]
+                weight[row] += n[k]
+        used = weight > 0
+        want = getattr(net, name).astype(float)
+        want[used] += total[used] / weight[used].reshape(-1, *[1] * (want.ndim - 1))
+        assert np.allclose(getattr(got, name), want, atol=1e-5) and used.any()
+
+
 def test_pseudo_likelihood_reads_both_sides():
     """A word that both neighbours call for is likelier than one that they don't."""
     rng = np.random.default_rng(3)
