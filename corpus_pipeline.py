@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text of which the ids are returned together.
-ENCODE_BLOCK_BYTES = 8_000_000
+ENCODE_BLOCK_BYTES = 4_000_000
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

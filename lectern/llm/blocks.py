@@ -11,11 +11,12 @@ each shard one entry a block.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -104,24 +105,51 @@ def cut(
     A null text becomes an empty one.
     """
     tidy()
-    context = TaskContext.get()
-    base = (context.partitionId() if context else 0) << 32
-    made = 0
+    made = _first_block()
     for frame in frames:
         ids, texts = frame["doc_id"], [bytes(t) if t is not None else b"" for t in frame["text"]]
         has = ids.notna().to_numpy()
         values = ids.fillna(0).astype("int64").to_numpy()
-        low, size = 0, 0
-        for k in range(len(texts)):
-            if k > low and size + len(texts[k]) > most:
-                yield (base + made, *_ordered(values[low:k], has[low:k], texts[low:k]))
-                made, low, size = made + 1, k, 0
-            size += len(texts[k])
-        if low < len(texts):
-            yield (base + made, *_ordered(values[low:], has[low:], texts[low:]))
+        for low, high in _stretches(map(len, texts), most):
+            yield (made, *_ordered(values[low:high], has[low:high], texts[low:high]))
             made += 1
 
 
+def cut_batches(
+    batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """:func:`cut` over Arrow's batches: of a batch, only one block's texts become objects at a time."""
+    tidy()
+    made = _first_block()
+    for batch in batches:
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        has, values = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype("int64")
+        for low, high in _stretches(pc.binary_length(texts).fill_null(0).to_pylist(), most):
+            own = [t or b"" for t in texts.slice(low, high - low).to_pylist()]
+            yield (made, *_ordered(values[low:high], has[low:high], own))
+            made += 1
+            del own
+
+
+def _first_block() -> int:
+    """The number of a task's first block."""
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 32
+
+
+def _stretches(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Where stretches of at most ``most`` bytes begin and end; a larger text is one of its own."""
+    low, high, size = 0, 0, 0
+    for n in sizes:
+        if high > low and size + n > most:
+            yield low, high
+            low, size = high, 0
+        size += n
+        high += 1
+    if low < high:
+        yield low, high
+
+
 def _ordered(ids: np.ndarray, has: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     order = np.lexsort((ids, has))
     return ids[order], has[order], [texts[k] for k in order]

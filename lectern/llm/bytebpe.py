@@ -23,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +54,15 @@ def _token_bytes(data: bytes) -> dict[int, bytes]:
 
 
 def _pretokens(pattern: str, n_shards: int, block_bytes: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for block, ids, has, texts in B.cut(frames, block_bytes):
+        for block, ids, has, texts in B.cut_batches(batches, block_bytes):
             seen, counts, flat = B.Places(), [], [np.empty(0, "<u4")]
             for t in texts:
                 words = find(t.decode("utf-8", "replace"))
                 counts.append(len(words))
                 flat.append(np.fromiter(map(seen.__getitem__, words), dtype="<u4", count=len(words)))
+            texts.clear()
             at = np.concatenate(flat)
             flat.clear()
             # Frequent words get the first places.
@@ -76,11 +78,15 @@ def _pretokens(pattern: str, n_shards: int, block_bytes: int):
                 own = sorted(part.tolist(), key=words.__getitem__)
                 lens, body = B.join_parts([words[k] for k in own])
                 rows.append(("words", shard, block, B.pack_places(place[own]), lens, body))
-            yield pd.DataFrame(rows, columns=["kind", "shard", "block", "ids", "lens", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPLIT.types, strict=True)], schema=_SPLIT)
+            rows.clear()
 
     return B.tidied(run)
 
 
+_SPLIT = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("ids", "lens", "body"))])
+
+
 def _encode(data: bytes, pattern: str):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         encode, known, rows = _encoder(data, pattern).encode_single_piece, {}, []
@@ -105,34 +111,49 @@ OUTPUTS = {"whole": "ids binary, decoded binary", "ids": "ids binary, decoded_sh
 def _assemble(data: bytes, output: str):
     """Documents put together."""
     keeps_ids, keeps_bytes = output != "digests", output == "whole"
+    names = [part.split()[0] for part in OUTPUTS[output].split(", ")]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        ids, has = B.unpack_ids(row["ids"])
-        counts = np.frombuffer(row["lens"], "<i8")
-        positions = B.unpack_places(row["body"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, has = B.unpack_ids(left["ids"][0].as_py())
+        counts = np.frombuffer(left["lens"][0].as_py(), "<i8")
+        positions = B.unpack_places(left["body"][0].as_py())
         words: list[bytes] = [b""] * (int(positions.max()) + 1 if len(positions) else 0)
         for places, lens, body in zip(right["places"], right["lens"], right["body"], strict=True):
-            for place, word in zip(B.unpack_places(places).tolist(), B.split_parts(lens, body), strict=True):
+            for place, word in zip(B.unpack_places(places.as_py()).tolist(), B.split_parts(lens.as_py(), body.as_py()), strict=True):
                 words[place] = word
         table_ = _token_bytes(data)
         text_of = [b"".join(map(table_.__getitem__, np.frombuffer(w, "<u4").tolist())) for w in words]
-        rows, low = [], 0
-        for k, n in enumerate(counts.tolist()):
+        tokens, decoded, sizes, low = _Column(keeps_ids), _Column(keeps_bytes), [], 0
+        for n in counts.tolist():
             own = positions[low : low + n].tolist()
             low += n
-            tokens = b"".join([words[p] for p in own])
-            decoded = b"".join([text_of[p] for p in own])
-            made = (tokens if keeps_ids else _sha256(tokens), decoded if keeps_bytes else _sha256(decoded))
-            rows.append((int(ids[k]) if has[k] else None, len(tokens) // 4, *made))
-        names = [part.split()[0] for part in OUTPUTS[output].split(", ")]
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", *names]).astype({"doc_id": "Int64"})
+            sizes.append(tokens.add(b"".join([words[p] for p in own])) // 4)
+            decoded.add(b"".join([text_of[p] for p in own]))
+        columns = [pa.array(ids, mask=~has), pa.array(sizes, pa.int64()), tokens.array(), decoded.array()]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", *names])
 
     return lambda left, right: B.tidied_group(run, left, right)
 
 
-def _sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+class _Column:
+    """A column of bytes, each value written once into the buffer that leaves the worker, or of their digests."""
+
+    def __init__(self, whole: bool):
+        self.whole, self.data, self.ends, self.digests = whole, bytearray(), [0], []
+
+    def add(self, value: bytes) -> int:
+        """The value's length."""
+        if self.whole:
+            self.data += value
+            self.ends.append(len(self.data))
+        else:
+            self.digests.append(hashlib.sha256(value).hexdigest())
+        return len(value)
+
+    def array(self) -> pa.Array:
+        if not self.whole:
+            return pa.array(self.digests, pa.string())
+        return pa.Array.from_buffers(pa.binary(), len(self.ends) - 1, [None, pa.py_buffer(np.array(self.ends, "<i4")), pa.py_buffer(self.data)])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, output: str = "whole", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,10 +165,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, output:
     """
     data = Path(ranks_path).read_bytes()
     n_shards = B.shard_count(docs)
-    # Documents stay where they are written; only words and their ids travel.
-    n_buckets = min(B.MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * B.SHARD_BYTES // block_bytes))
+    # Documents stay where they are written; only words and their ids travel.  Small blocks share a bucket.
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = min(B.MOST_BUCKETS, max(n_buckets, n_shards * B.SHARD_BYTES // max(block_bytes, BLOCK_BYTES)))
     split = materialize(
-        B.raw(docs).mapInPandas(
+        B.raw(docs).mapInArrow(
             _pretokens(pattern, n_shards, block_bytes),
             "kind string, shard long, block long, ids binary, lens binary, body binary",
         ),
@@ -163,7 +185,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, output:
     return (
         kept.groupBy("block")
         .cogroup(encoded.groupBy("block"))
-        .applyInPandas(
+        .applyInArrow(
             _assemble(data, output),
             f"doc_id long, n_tokens long, {OUTPUTS[output]}",
         )

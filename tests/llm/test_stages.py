@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bytebpe, languages, mixing
+from lectern.llm import blocks, bytebpe, languages, mixing
 from lectern.llm.common import text_hash
 from tests.llm.conftest import CLASHING, row
 
@@ -142,3 +143,22 @@ def test_windows_are_told_apart_by_128_bits(spark, monkeypatch):
     monkeypatch.undo()
     rows = {r.doc_id: r for r in substrings.factor_documents(df).collect()}
     assert rows[6].n_removed > 20 and not any(rows[k].n_removed for k in range(6))
+
+
+def test_encode_holds_one_block_of_texts():
+    """However long Spark's batch is, only a block's texts become objects; blocks are those of frames."""
+    import tracemalloc
+
+    texts = [f"{k} " + "ab " * 5000 for k in range(2000)] + [None, "", "é" * 40000]
+    ids = [None, *range(len(texts) - 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        run, size = bytebpe._pretokens(public_tokenizers.PATTERN, 4, 200_000), sum(len(t or "") for t in texts)
+        n = sum(b.to_pydict()["kind"].count("documents") for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 100 and peak < size / 3
+    whole = [(b, i.tolist(), h.tolist(), t) for b, i, h, t in blocks.cut_batches(iter([batch]), 200_000)]
+    assert whole == [(b, i.tolist(), h.tolist(), t) for b, i, h, t in blocks.cut(iter([batch.to_pandas(integer_object_nulls=True)]), 200_000)]
