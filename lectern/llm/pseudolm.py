@@ -42,6 +42,8 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +103,20 @@ def _softmax(z: np.ndarray, below_zero: bool) -> np.ndarray:
     if not below_zero:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / _row_sums(z))[:, None]
     return z
 
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)  # a product is faster than a sum of short rows
+
+
 def _log_softmax_at(at: np.ndarray, z: np.ndarray, below_zero: bool) -> np.ndarray:
     """One value of every row's log softmax; z is written over."""
     if not below_zero:
         z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    return own - np.log(_row_sums(np.exp(z, out=z)))
 
 
 @dataclass
@@ -394,25 +400,34 @@ def _stretches(docs: DataFrame, n_docs: int, kept: DataFrame) -> Stretches:
 _SPLIT = "kind string, turn int, shard long, block long, ids binary, lens binary, body binary, counts binary, hashes binary, leaves array<long>"
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, the place of every word in the list of distinct ones, and this list, in order of first sight."""
+    split = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))  # as bytes.split(), but that ends of white space leave empty words
+    flat = split.flatten()
+    real = np.asarray(pc.binary_length(flat)) > 0
+    ends = np.concatenate([[0], np.cumsum(real)])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+    found = flat.filter(pa.array(real)).view(pa.binary()).dictionary_encode()
+    return np.diff(ends).astype("<i8"), np.asarray(found.indices).astype("<u4"), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def _digests(listed: list[bytes]) -> np.ndarray:
+    """Hashes of distinct words; those of a block are too many to be remembered."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, listed), dtype=np.uint64, count=len(listed))
+
+
 def _cut(n_shards: int):
     """A block as places in its list of distinct words, and these words by shard with their counts."""
 
     def run(group: pa.Table) -> pa.Table:
         block = group["block"][0].as_py()
-        texts = [t or b"" for t in group["text"].to_pylist()]
+        texts = group["text"].combine_chunks()
         has, ids = ~np.asarray(group["doc_id"].is_null()), np.asarray(group["doc_id"].fill_null(0))
-        order = np.lexsort((np.array([hash_of(t) for t in texts]), ids, has))
-        seen, sizes, flat = B.Places(), [], [np.empty(0, "<u4")]
-        for k in order:
-            listed = texts[k].split()  # of bytes: ASCII white space alone
-            sizes.append(len(listed))
-            flat.append(np.fromiter(map(seen.__getitem__, listed), dtype="<u4", count=len(listed)))
-        at = np.concatenate(flat)
-        counts = np.bincount(at, minlength=len(seen)).astype("<u4")
-        listed = list(seen)
-        hashes = _hashes.array(listed)
+        order = np.lexsort((np.array([hash_of(t or b"") for t in texts.to_pylist()]), ids, has))
+        sizes, at, listed = _words(texts.take(pa.array(order)))
+        counts = np.bincount(at, minlength=len(listed)).astype("<u4")
+        hashes = _digests(listed)
         leaves = np.bincount(leaves_of(hashes), counts, CLASSES * LEAVES).astype(np.int64)
-        rows = [("documents", block % ROUNDS, -1, block, B.pack_ids(ids[order], has[order]), np.array(sizes, "<i8").tobytes(), B.pack_places(at), None,
+        rows = [("documents", block % ROUNDS, -1, block, B.pack_ids(ids[order], has[order]), sizes.tobytes(), B.pack_places(at), None,
                  B.pack(hashes), leaves.tolist())]
         for shard, part in B.by_shard(hashes, n_shards):
             lens, body = B.join_parts([listed[k] for k in part])
@@ -449,7 +464,7 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(known), dtype=np.int64)
     for at, n in zip(of_block, counts, strict=True):
         total[at] += n  # a block lists a word once
-    hashes = _hashes.array(list(known))
+    hashes = _digests(list(known))
     rows = [
         (block, places, B.pack(total[at].astype("<i8")), B.pack(hashes[at]))
         for block, places, at in zip(group["block"], group["ids"], of_block, strict=True)

@@ -635,3 +635,29 @@ def test_text_hash_is_the_same_on_both_sides(spark):
     texts = ["", "a", "é😀" * 50, "x" * 1000, None]
     got = [r.h for r in spark.createDataFrame([(t,) for t in texts], "text string").select(common.text_hash().alias("h")).collect()]
     assert got == [common.hash_of((t or "").encode()) for t in texts]
+
+
+def test_words_of_a_block_are_those_of_split():
+    """Without an object for every word: a block's words cost less memory than a list of them."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [None, "", " ", "  a  b ", "\ta\x0bb\x0cc\rd\n", "é x y\x85z\x1cw", "one", "x" * 5000]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x1cab é") for _ in range(rng.randrange(40))) for _ in range(500)]
+    sizes, at, listed = pseudolm._words(pa.array([t if t is None else t.encode() for t in texts], pa.binary()))
+    words = [(t or "").encode().split() for t in texts]
+    flat = [x for w in words for x in w]
+    assert sizes.tolist() == [len(w) for w in words] and listed == list(dict.fromkeys(flat))
+    assert [listed[k] for k in at.tolist()] == flat
+    long = pa.table({"block": pa.array([0], pa.int64()), "doc_id": pa.array([1], pa.int64()), "text": pa.array([b"ab cd ef gh " * 250_000], pa.binary())})
+    pseudolm._cut(1)(long)
+    tracemalloc.start()
+    try:
+        pseudolm._cut(1)(long)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30_000_000  # a list of a million words and their objects has 44 MB
